@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,6 +30,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends, and lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()  # lets Spark delete the shuffle files of the finished step
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged = path
     return out
