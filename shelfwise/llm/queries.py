@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import chat, decontaminate, html, langid, media, mixing, secrets, substrings
+from shelfwise.llm import chat, decontaminate, html, jaccard, langid, media, mixing, secrets, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard.jaccard_groups(_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_media_columns": op3_media_columns,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_chat_format": op6_chat_format,
     "op7_secret_scan": op7_secret_scan,
     "op8_decontaminate": op8_decontaminate,
