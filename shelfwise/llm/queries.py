@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from shelfwise.llm import chat, decontaminate, html, jaccard, langid, media, mixing, secrets, substrings
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,6 +64,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": pipeline,
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_media_columns": op3_media_columns,
