@@ -19,9 +19,9 @@ PERCENT = 75
 MATCHES = 4
 #: What verifying a candidate costs, in postings read.
 VERIFY = 8.0
-#: Share of the hash range whose tokens are counted over all texts. A prefix takes (100 - PERCENT) % of a set and a
-#: little more; a text with fewer tokens in the range goes on with tokens beyond it, so this only affects speed.
-COUNTED = 0.27
+#: Share of the hash range whose tokens are counted over all texts to rule out sets that cannot link to any other. Results
+#: do not depend on it: more of the range costs counting, less of it leaves more sets for the join.
+COUNTED = 0.4
 CHUNK = 4 << 20
 
 _RANDOM = np.random.default_rng(4711)
@@ -91,7 +91,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h, owner = np.concatenate(out), np.concatenate(owner)
-    order = np.lexsort((h, owner))
+    bits = np.uint64(64 - max(1, len(offsets) - 1).bit_length())
+    order = np.argsort(owner.astype(np.uint64) << bits | h >> (np.uint64(64) - bits))  # one key of text and hash
+    if not (h[order][1:] >= h[order][:-1])[owner[order][1:] == owner[order][:-1]].all():
+        order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     new = np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))) if len(h) else np.zeros(0, bool)
     return h[new], owner[new]
@@ -122,91 +125,93 @@ def least_overlap(n: np.ndarray) -> np.ndarray:
 
 
 def _summaries(rows: DataFrame) -> DataFrame:
-    """(doc_id, tag, n, class) of each text: set size and the hash of the set, equal for equal sets; and low, the tokens counted."""
+    """(doc_id, tag, n, class, low, tokens) of each text: set size; hash of the set, equal for equal sets; counted tokens.
+
+    tokens are listed once for equal sets of a chunk; low is their number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = np.uint64(int(COUNTED * 2**64))
         for b in batches:
             for a, z, n, start, h in _sets(b.column(2)):
-                below = np.concatenate(([0], np.cumsum(h < edge)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), pa.array(n), pa.array(_set_marks(h, n, start)), pa.array(below[start + n] - below[start])], ["doc_id", "tag", "n", "class", "low"])
+                mark = _set_marks(h, n, start)
+                once = np.zeros(len(n), bool)
+                once[np.unique(mark, return_index=True)[1]] = True
+                below = h < edge
+                upto = np.concatenate(([0], np.cumsum(below)))
+                low = upto[start + n] - upto[start]
+                size = np.where(once, low, 0)
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(h[below & np.repeat(once, n)].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), pa.array(n), pa.array(mark), pa.array(low), tokens], ["doc_id", "tag", "n", "class", "low", "tokens"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tag int, n bigint, class bigint, low bigint")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tag int, n bigint, class bigint, low bigint, tokens array<bigint>")
 
 
-def _postings(rows: DataFrame) -> DataFrame:
-    """(token, class, place) of the tokens in the counted range, and beyond it up to the longest prefix; place is the rank by hash."""
+def _shared_tokens(postings: DataFrame, label: str) -> DataFrame:
+    """(token, class, df) of the (token, class) rows whose token another class has too.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edge = np.uint64(int(COUNTED * 2**64))
-        for b in batches:
-            for _, _, n, start, h in _sets(b.column(2)):
-                mark = _set_marks(h, n, start)
-                _, some = np.unique(mark, return_index=True)  # equal sets of the chunk once
-                once = np.zeros(len(n), bool)
-                once[some] = True
-                longest = np.minimum(n, n - least_overlap(n) + MATCHES)
-                place = np.arange(len(h)) - np.repeat(start, n)
-                take = ((h < edge) | (place < np.repeat(longest, n))) & np.repeat(once, n)
-                yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(np.repeat(mark, n)[take]), pa.array(place[take].astype(np.int32))], ["token", "class", "place"])
+    Counts are summed before the shuffle and written, so that the join of a token in very many sets can be split.
+    """
+    often = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("token", "df")
+    return postings.join(stage(often, label), "token")
 
-    return rows.mapInArrow(run, "token bigint, class bigint, place int")
+
+def _can_link(n: str, s: str, n2: str, s2: str) -> str:
+    """SQL: whether two sets can be similar enough, given how many tokens of each another set has too."""
+    most = f"least({s}, {s2})"
+    return f"100 * {most} >= {PERCENT} * ({n} + {n2} - {most})"
 
 
 def _prefixes(shared: DataFrame, sizes: DataFrame) -> DataFrame:
     """Prefix tokens of each class that other classes have too, with the length its candidate cost asks for.
 
-    All sets are in one order: counted tokens by document count, then the others by hash. Tokens that no other class
-    has come first and need no row. shared: (class, token, place, df); sizes: (class, n, low). Returns token, class,
-    n, level (shared tokens from which on the token is in the prefix), matches (chosen number of shared tokens), own
-    (tokens of the shortest prefix that no other class has).
+    All sets are in one order, by the number of sets with a token. Tokens that no other class has come first and need
+    no row; where they fill the shortest prefix the class cannot link. shared: (class, token, df); sizes: (class, n).
+    Returns token, class, n, s (tokens that other classes have too), level (shared tokens from which on the token is
+    in the prefix), matches (chosen number of shared tokens).
     """
-    edge = np.uint64(int(COUNTED * 2**64))
-    grouped = shared.groupBy("class").agg(F.collect_set(F.struct("token", "place", "df")).alias("tokens")).join(sizes, "class").select("class", "n", "low", "tokens")
+    grouped = shared.groupBy("class").agg(F.collect_set(F.struct("token", "df")).alias("tokens")).join(sizes, "class").select("class", "n", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(3)
+            lists = b.column(2)
             flat, sizes_, at = lists.flatten(), np.diff(lists.offsets.to_numpy()), 0
-            token, place, df = (flat.field(k).to_numpy() for k in ("token", "place", "df"))
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            for mark, n, low, m in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), sizes_, strict=True):
-                t, p, d = token[at : at + m], place[at : at + m], df[at : at + m]
+            token, df = (flat.field(k).to_numpy() for k in ("token", "df"))
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for mark, n, m in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), sizes_, strict=True):
+                t, d = token[at : at + m], df[at : at + m]
                 at += m
-                counted = t.view(np.uint64) < edge
-                order = np.lexsort((t.view(np.uint64), d))
-                order = order[counted[order]]
-                where = np.empty(m, np.int64)
-                where[order] = low - len(order) + np.arange(len(order))
-                where[~counted] = p[~counted]
+                order = np.lexsort((t, d))
+                t, d, place = t[order], d[order], n - m + np.arange(m)
                 need = int(least_overlap(n))
                 shortest = n - need + 1
+                if m < need:
+                    continue
                 cost = []
                 for k in range(1, min(MATCHES, need) + 1):
-                    read = float(d[where < shortest + k - 1].sum())
+                    read = float(d[place < shortest + k - 1].sum())
                     cost.append(read + VERIFY * read / k)
                 best = int(np.argmin(cost)) + 1
-                take = where < shortest + best - 1
-                level = np.maximum(1, where[take] - shortest + 2)
+                take = place < shortest + best - 1
                 size = int(take.sum())
-                own = shortest - int((where < shortest).sum())
-                for column, value in zip(out, (t[take], np.full(size, mark), np.full(size, n), level, np.full(size, best), np.full(size, own)), strict=True):
+                level = np.maximum(1, place[take] - shortest + 2)
+                for column, value in zip(out, (t[take], np.full(size, mark), np.full(size, n), np.full(size, m), level, np.full(size, best)), strict=True):
                     column.append(value)
             joined = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in joined], ["token", "class", "n", "level", "matches", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in joined], ["token", "class", "n", "s", "level", "matches"])
 
-    return grouped.mapInArrow(run, "token bigint, class bigint, n bigint, level bigint, matches bigint, own bigint")
+    return grouped.mapInArrow(run, "token bigint, class bigint, n bigint, s bigint, level bigint, matches bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) whose sets (class, tokens as bytes) link."""
+    """The (a, b) whose sets (class, tokens ascending) link."""
     both = pairs.join(sets.withColumnsRenamed({"class": "b", "tokens": "y"}), "b").join(sets.withColumnsRenamed({"class": "a", "tokens": "x"}), "a").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
                 if not len(x):
@@ -242,45 +247,47 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Groups of documents that links connect: 5-word shingle sets with a Jaccard similarity of PERCENT % or more.
 
     1. Texts with equal sets are one class; only classes are joined.
-    2. Tokens in the counted hash range are counted over all texts; tokens of one class only are dropped.
-    3. Each class gets a prefix in the common order (rarest first), lengthened where the documents behind its tokens
-       make candidates dear; a prefix longer by k - 1 asks for k shared tokens.
+    2. Tokens in the counted hash range are counted over all texts. A class with more tokens of its own than a link
+       leaves room for is out; in a usual corpus that is most.
+    3. All tokens of the other classes are counted among them. Each class gets a prefix in the common order (rarest
+       first), lengthened where the sets behind its tokens make candidates dear; a prefix longer by k - 1 asks for k
+       shared tokens.
     4. Candidates are verified in two rounds. First each class meets the class it shares most prefix tokens with
-       among those that lead a token (the fewest tokens of their own lead): a group of copies becomes a star, not all
-       its pairs. Then all pairs of classes with enough shared prefix tokens that are still in different groups are
-       verified. A pair inside a group cannot change it, so no link that matters is lost and no list is capped.
+       among those that lead a token (the most tokens that others have too): a group of copies becomes a star, not
+       all its pairs. Then all pairs of classes with enough shared prefix tokens that are still in different groups,
+       and whose shared tokens leave a link possible, are verified. A pair inside a group cannot change it, so no
+       link that matters is lost and no list is capped.
 
     Words are runs of bytes other than ASCII white space, A-Z as a-z. Null texts and texts without words have no
     shingles and stand alone. Rows with equal id and text are copies. A group with only null ids has a null id.
     Returns doc_id, tag (hash of the text), n (set size), class, component_id (smallest doc_id of the group).
     """
     rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.hash("text").alias("tag"), "text")
-    texts = stage(_summaries(rows), "jaccard-texts")
-    postings = _postings(rows)
-    often = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("token", "df")
-    often = stage(often, "jaccard-tokens")
-    shared = stage(postings.join(often, "token"), "jaccard-shared")
-    sizes = texts.groupBy("class").agg(F.max("n").alias("n"), F.max("low").alias("low"))
-    prefixes = stage(_prefixes(shared, sizes), "jaccard-prefixes")
-
-    head = prefixes.groupBy("token").agg(F.min(F.struct("own", "n", "class")).alias("head"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("head.class").alias("b"), F.col("head.n").alias("nb"))
-    close = F.expr(f"100 * least(n, nb) >= {PERCENT} * greatest(n, nb)")
-    led = prefixes.select("token", F.col("class").alias("a"), "n").join(head, "token").filter(close & (F.col("a") != F.col("b"))).groupBy("a", "b").count()
-    best = led.groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    first = stage(best, "jaccard-star")
-
-    member = texts.filter("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "tag")).alias("p")).select("class", "p.*")
-    wanted = prefixes.select("token", "class").join(head.select("token"), "token", "left_semi").select("class").distinct()
-    listed = member.join(wanted, "class").groupBy("doc_id", "tag").agg(F.max("class").alias("class"))
-    other = listed.withColumnsRenamed({"doc_id": "_id", "tag": "_tag"})
+    staged = stage(_summaries(rows), "jaccard-texts")
+    texts = staged.drop("tokens")
+    common = _shared_tokens(staged.select("class", F.explode("tokens").alias("token")), "jaccard-counted").select("class", "token").distinct().groupBy("class").agg(F.count("*").alias("s"))
+    member = texts.filter("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "tag")).alias("p"), F.max("n").alias("n"), F.max("low").alias("low")).select("class", "n", "low", "p.*")
+    alive = member.join(common, "class", "left").filter(f"low - coalesce(s, 0) <= n - ceil(n * {PERCENT} / 100)")
+    alive = stage(alive.select("class", "n", "doc_id", "tag"), "jaccard-alive")
+    other = alive.groupBy("doc_id", "tag").agg(F.max("class").alias("class")).withColumnsRenamed({"doc_id": "_id", "tag": "_tag"})
     found = rows.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("class", "text")
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, z, n, start, h in _sets(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array([h[s : s + k].tobytes() for s, k in zip(start.tolist(), n.tolist(), strict=True)], pa.binary())], ["class", "tokens"])
+            for a, z, n, _, h in _sets(b.column(1)):
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), lists], ["class", "tokens"])
+
+    sets = stage(found.mapInArrow(listed, "class bigint, tokens array<bigint>"), "jaccard-sets")
+    shared = _shared_tokens(sets.select("class", F.explode("tokens").alias("token")), "jaccard-tokens")
+    prefixes = stage(_prefixes(shared, alive.groupBy("class").agg(F.max("n").alias("n"))), "jaccard-prefixes")
+
+    lead = F.struct((F.col("n") - F.col("s")).alias("own"), "n", "class", "s")
+    head = prefixes.groupBy("token").agg(F.min(lead).alias("head"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("head.class").alias("b"), F.col("head.n").alias("n2"), F.col("head.s").alias("s2"))
+    led = prefixes.join(head, "token").filter((F.col("class") != F.col("b")) & F.expr(_can_link("n", "s", "n2", "s2"))).groupBy(F.col("class").alias("a"), "b").count()
+    best = led.groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    first = stage(best, "jaccard-star")
 
-    sets = stage(found.mapInArrow(packed, "class bigint, tokens binary").dropDuplicates(["class"]), "jaccard-sets")
     edges = stage(_verified(first, sets), "jaccard-edges")
     labels = components(edges)
 
@@ -289,7 +296,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     split = stage(named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token"), "jaccard-split")
     left = named.join(split, "token", "left_semi")
     a, b = left.alias("a"), left.alias("b")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.label") != F.col("b.label")) & F.expr(f"100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n)") & F.expr("greatest(a.level, b.level) <= least(a.matches, b.matches)"))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.label") != F.col("b.label")) & F.expr(_can_link("a.n", "a.s", "b.n", "b.s")) & F.expr("greatest(a.level, b.level) <= least(a.matches, b.matches)"))
     pairs = met.groupBy(F.col("a.class").alias("a"), F.col("b.class").alias("b")).agg(F.count("*").alias("k"), F.first(F.expr("least(a.matches, b.matches)")).alias("need")).filter("k >= need").select("a", "b")
     more = stage(_verified(pairs, sets), "jaccard-edges")
     if not more.isEmpty():

@@ -81,4 +81,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLES: dict[str, str] = {}
+
+def _shingles(table: str, key: str, lowered: str) -> str:
+    return rf"""select {key}, unnest(list_distinct(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end)) as g
+    from (select {key}, list_filter(string_split_regex({lowered}, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from {table} where text is not null)"""
+
+
+_ASCII = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: What SQL can express. Left out: a trained model (op1, op7 in part), JPEG bytes (op3), windows of bytes and of
+#: min-hashes (op2, op4), seeded hashes (op9), HTML trees (op10); tests hold those against brute force.
+ORACLES: dict[str, str] = {
+    "op5_jaccard_join": f"""with recursive sh as ({_shingles("documents", "doc_id", _ASCII)}), n as (select doc_id, count(*) as n from sh group by 1),
+    p as (select a.doc_id as a, b.doc_id as b, count(*) as k from sh a join sh b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+    links as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * k >= 75 * (x.n + y.n - k)),
+    reach as (select a as doc_id, b as other from links union select reach.doc_id, links.b from reach join links on reach.other = links.a)
+    select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(r.other, d.doc_id)) as component_id
+    from documents d left join n on d.doc_id = n.doc_id left join (select doc_id, min(other) as other from reach group by 1) r on d.doc_id = r.doc_id""",
+    "op6_chat_format": r"""with c as (select conv_id, turn, role, coalesce(text, '') as text from conversations
+      union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    e as (select *, length(replace(replace(replace(text, '\', '\\'), '<', '\l'), '[', '\b')) as escaped from c)
+    select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+      coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+      sha256(coalesce(string_agg(text, '' order by turn, text) filter (where role = 'assistant'), '')) as loss_sha256,
+      sum(12 + length(role) + 1 + escaped + 11)::bigint as formatted_chars from e group by 1""",
+    "op8_decontaminate": f"""with d as ({_shingles("documents", "doc_id", "lower(text)")}), i as ({_shingles("benchmark", "item_id", "lower(text)")}), q as (select item_id, count(*) as n_item from i group by 1),
+    m as (select doc_id, item_id, count(*) as n_shared from d join i on d.g = i.g group by 1, 2)
+    select doc_id, m.item_id, n_item, n_shared, n_shared / n_item as containment from m join q on m.item_id = q.item_id where n_shared >= ceil(n_item * 0.75 - 1e-9)""",
+}
