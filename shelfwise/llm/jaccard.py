@@ -21,8 +21,10 @@ MATCHES = 4
 VERIFY = 8.0
 #: Share of the hash range whose tokens are counted over all texts to rule out sets that cannot link to any other. Results
 #: do not depend on it: more of the range costs counting, less of it leaves more sets for the join.
-COUNTED = 0.4
+COUNTED = 0.33
 CHUNK = 4 << 20
+#: Sets and tokens of a block in which members of a family are compared.
+BLOCK, BLOCK_TOKENS = 256, 500_000
 
 _RANDOM = np.random.default_rng(4711)
 BYTE = _RANDOM.integers(0, 1 << 64, 256, np.uint64)
@@ -147,12 +149,13 @@ def _summaries(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tag int, n bigint, class bigint, low bigint, tokens array<bigint>")
 
 
-def _shared_tokens(postings: DataFrame, label: str) -> DataFrame:
-    """(token, class, df) of the (token, class) rows whose token another class has too.
+def _shared_tokens(postings: DataFrame, label: str, counted: bool = True) -> DataFrame:
+    """(token, class, and df if counted) of the (token, class) rows whose token another class has too.
 
     Counts are summed before the shuffle and written, so that the join of a token in very many sets can be split.
     """
-    often = postings.groupBy("token").agg(F.count("*").alias("df"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("token", "df")
+    counts = [F.count("*").alias("df")] if counted else []
+    often = postings.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), *counts).filter("low <> high").drop("low", "high")
     return postings.join(stage(often, label), "token")
 
 
@@ -225,6 +228,59 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all of y, as matrix products over slices of their tokens."""
+    tokens = np.concatenate([*x, *y])
+    row = np.repeat(np.arange(len(x) + len(y)), [len(t) for t in (*x, *y)])
+    _, place, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    keep = count[place] > 1
+    place, row = np.unique(place[keep], return_inverse=True)[1], row[keep]
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    out = np.zeros((len(x), len(y)), np.float64)
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        a, z = np.searchsorted(place, [first, first + columns])
+        m = np.zeros((len(x) + len(y), columns), np.float32)
+        m[row[a:z], place[a:z] - first] = 1
+        out += m[: len(x)] @ m[len(x) :].T
+    return np.rint(out).astype(np.int64)
+
+
+def _linked_in_families(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different groups of a family. members: class, n, label (group), family.
+
+    The members outside the family's largest group, dealt to blocks by hash, meet blocks of the whole family. A block
+    holds some hundreds of sets and about a million tokens, so families of any size are many small tasks. Of a
+    member's links to one group only one is kept.
+    """
+    groups = members.groupBy("family", "label").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"))
+    largest = groups.groupBy("family").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("m"), F.sum("tokens").alias("tokens"), F.count("*").alias("k")).filter("k > 1")
+    blocks = lambda m, t: F.ceil(F.greatest(m / BLOCK, t / BLOCK_TOKENS)).cast("int")
+    plan = largest.join(groups.select("family", F.col("label").alias("_l"), F.col("m").alias("_m"), F.col("tokens").alias("_t")), (F.col("top.label") == F.col("_l")) & (largest["family"] == groups["family"]))
+    plan = plan.select(largest["family"], F.col("top.label").alias("main"), blocks(F.col("m"), F.col("tokens")).alias("whole"), F.greatest(blocks(F.col("m") - F.col("_m"), F.col("tokens") - F.col("_t")), F.lit(1)).alias("apart"))
+    held = members.join(plan, "family").join(sets, "class")
+    deal = lambda n, salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = held.filter("label <> main").select("family", deal("apart", 1).alias("r"), every("whole").alias("c"), F.lit(0).alias("side"), "class", "label", "tokens")
+    right = held.select("family", every("apart").alias("r"), deal("whole", 2).alias("c"), F.lit(1).alias("side"), "class", "label", "tokens")
+
+    def run(t: pa.Table) -> pa.Table:
+        side, label = t["side"].to_numpy(), t["label"].to_numpy()
+        mark, tokens = t["class"].to_numpy(), t["tokens"].combine_chunks()
+        lists = [v.values.to_numpy() for v in tokens]
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = [], []
+        if len(x) and len(y):
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            common = overlaps([lists[i] for i in x], [lists[i] for i in y])
+            i, j = np.nonzero((100 * common >= PERCENT * (n[x][:, None] + n[y] - common)) & (label[x][:, None] != label[y]))
+            _, some = np.unique(np.stack((i, label[y[j]])), axis=1, return_index=True)
+            a, b = mark[x[i[some]]], mark[y[j[some]]]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return left.unionByName(right).groupBy("family", "r", "c").applyInArrow(run, "a bigint, b bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of the nodes of (a, b) edges; label is the smallest node of the component.
 
@@ -252,11 +308,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     3. All tokens of the other classes are counted among them. Each class gets a prefix in the common order (rarest
        first), lengthened where the sets behind its tokens make candidates dear; a prefix longer by k - 1 asks for k
        shared tokens.
-    4. Candidates are verified in two rounds. First each class meets the class it shares most prefix tokens with
-       among those that lead a token (the most tokens that others have too): a group of copies becomes a star, not
-       all its pairs. Then all pairs of classes with enough shared prefix tokens that are still in different groups,
-       and whose shared tokens leave a link possible, are verified. A pair inside a group cannot change it, so no
-       link that matters is lost and no list is capped.
+    4. Candidates are verified in three rounds. First each class meets the class it shares most prefix tokens with
+       among those that lead a token (the fewest tokens of their own): a group of copies becomes a star, not all its
+       pairs. Classes that share enough prefix tokens with a leader are a family with it; the members that the star
+       left apart are then held against their family in blocks, by one matrix product a block, of which only links
+       to other groups come out. Last, pairs of different families with enough shared prefix tokens are verified. A
+       pair inside a group cannot change it, so no link that matters is lost and no list is capped.
 
     Words are runs of bytes other than ASCII white space, A-Z as a-z. Null texts and texts without words have no
     shingles and stand alone. Rows with equal id and text are copies. A group with only null ids has a null id.
@@ -265,7 +322,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.hash("text").alias("tag"), "text")
     staged = stage(_summaries(rows), "jaccard-texts")
     texts = staged.drop("tokens")
-    common = _shared_tokens(staged.select("class", F.explode("tokens").alias("token")), "jaccard-counted").select("class", "token").distinct().groupBy("class").agg(F.count("*").alias("s"))
+    common = _shared_tokens(staged.select("class", F.explode("tokens").alias("token")), "jaccard-counted", counted=False).select("class", "token").distinct().groupBy("class").agg(F.count("*").alias("s"))
     member = texts.filter("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "tag")).alias("p"), F.max("n").alias("n"), F.max("low").alias("low")).select("class", "n", "low", "p.*")
     alive = member.join(common, "class", "left").filter(f"low - coalesce(s, 0) <= n - ceil(n * {PERCENT} / 100)")
     alive = stage(alive.select("class", "n", "doc_id", "tag"), "jaccard-alive")
@@ -291,13 +348,22 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     edges = stage(_verified(first, sets), "jaccard-edges")
     labels = components(edges)
 
+    family = components(led.filter(F.col("count") >= MATCHES).select("a", "b")).select(F.col("node").alias("class"), F.col("label").alias("family"))
     named = prefixes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    named = stage(named, "jaccard-named")
-    split = stage(named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token"), "jaccard-split")
-    left = named.join(split, "token", "left_semi")
-    a, b = left.alias("a"), left.alias("b")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.label") != F.col("b.label")) & F.expr(_can_link("a.n", "a.s", "b.n", "b.s")) & F.expr("greatest(a.level, b.level) <= least(a.matches, b.matches)"))
-    pairs = met.groupBy(F.col("a.class").alias("a"), F.col("b.class").alias("b")).agg(F.count("*").alias("k"), F.first(F.expr("least(a.matches, b.matches)")).alias("need")).filter("k >= need").select("a", "b")
+    named = stage(named.join(family, "class", "left").withColumn("family", F.coalesce("family", "class")), "jaccard-named")
+    inner = stage(_linked_in_families(named.select("class", "n", "label", "family").distinct(), sets), "jaccard-edges")
+    if not inner.isEmpty():
+        edges = stage(edges.union(inner), "jaccard-edges")
+        labels = components(edges)
+
+    mains = named.groupBy("token").agg(F.min("family").alias("low"), F.max("family").alias("high"), F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "n", "class", "family")).alias("head")).filter("low <> high").select("token", F.col("head.family").alias("main"))
+    mains = stage(mains, "jaccard-mixed")
+    current = named.drop("label").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    current = stage(current.join(mains, "token"), "jaccard-mixed")
+    a, b = current.filter("family <> main").alias("a"), current.alias("b")
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.family") != F.col("b.family")) & (F.col("a.label") != F.col("b.label")) & F.expr(_can_link("a.n", "a.s", "b.n", "b.s")) & F.expr("greatest(a.level, b.level) <= least(a.matches, b.matches)"))
+    met = met.select("a.token", F.least("a.class", "b.class").alias("a"), F.greatest("a.class", "b.class").alias("b"), F.expr("least(a.matches, b.matches)").alias("need"))
+    pairs = met.groupBy("a", "b").agg(F.countDistinct("token").alias("k"), F.max("need").alias("need")).filter("k >= need").select("a", "b")
     more = stage(_verified(pairs, sets), "jaccard-edges")
     if not more.isEmpty():
         labels = components(edges.union(more))
