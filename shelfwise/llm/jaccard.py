@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,13 +128,14 @@ def least_overlap(n: np.ndarray) -> np.ndarray:
 
 
 def _summaries(rows: DataFrame) -> DataFrame:
-    """(doc_id, tag, n, class, low, tokens) of each text: set size; hash of the set, equal for equal sets; counted tokens.
+    """(doc_id, tag, n, set, row, low, tokens) of each text: set size; hash of the set, equal for equal sets; counted tokens.
 
-    tokens are listed once for equal sets of a chunk; low is their number.
+    tokens are listed once for equal sets of a chunk; low is their number. row numbers the rows; unlike a hash it
+    takes few bytes in a shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edge = np.uint64(int(COUNTED * 2**64))
+        edge, row = np.uint64(int(COUNTED * 2**64)), TaskContext.get().partitionId() << 33
         for b in batches:
             for a, z, n, start, h in _sets(b.column(2)):
                 mark = _set_marks(h, n, start)
@@ -144,9 +146,10 @@ def _summaries(rows: DataFrame) -> DataFrame:
                 low = upto[start + n] - upto[start]
                 size = np.where(once, low, 0)
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(h[below & np.repeat(once, n)].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), pa.array(n), pa.array(mark), pa.array(low), tokens], ["doc_id", "tag", "n", "class", "low", "tokens"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), pa.array(n), pa.array(mark), pa.array(np.arange(row, row + z - a)), pa.array(low), tokens], ["doc_id", "tag", "n", "set", "row", "low", "tokens"])
+                row += z - a
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tag int, n bigint, class bigint, low bigint, tokens array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tag int, n bigint, set bigint, row bigint, low bigint, tokens array<bigint>")
 
 
 def _shared_tokens(postings: DataFrame, label: str, counted: bool = True) -> DataFrame:
@@ -317,14 +320,16 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are runs of bytes other than ASCII white space, A-Z as a-z. Null texts and texts without words have no
     shingles and stand alone. Rows with equal id and text are copies. A group with only null ids has a null id.
-    Returns doc_id, tag (hash of the text), n (set size), class, component_id (smallest doc_id of the group).
+    Returns doc_id, tag (hash of the text), n (set size), class (of equal sets), component_id (smallest doc_id of the group).
     """
     rows = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.hash("text").alias("tag"), "text")
     staged = stage(_summaries(rows), "jaccard-texts")
     texts = staged.drop("tokens")
-    common = _shared_tokens(staged.select("class", F.explode("tokens").alias("token")), "jaccard-counted", counted=False).select("class", "token").distinct().groupBy("class").agg(F.count("*").alias("s"))
-    member = texts.filter("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "tag")).alias("p"), F.max("n").alias("n"), F.max("low").alias("low")).select("class", "n", "low", "p.*")
-    alive = member.join(common, "class", "left").filter(f"low - coalesce(s, 0) <= n - ceil(n * {PERCENT} / 100)")
+    common = _shared_tokens(staged.select(F.col("row").alias("class"), F.explode("tokens").alias("token")), "jaccard-counted", counted=False).groupBy("class").agg(F.count("*").alias("s"))
+    judged = texts.filter("n > 0").join(common.withColumnRenamed("class", "row"), "row", "left")
+    judged = judged.groupBy("set").agg(F.min(F.struct("row", "doc_id", "tag")).alias("p"), F.max("n").alias("n"), F.max("low").alias("low"), F.max(F.coalesce("s", F.lit(0))).alias("s"))
+    judged = stage(judged.select("set", F.col("p.row").alias("class"), "p.doc_id", "p.tag", "n", "low", "s"), "jaccard-classes")
+    alive = judged.filter(f"low - s <= n - ceil(n * {PERCENT} / 100)")
     alive = stage(alive.select("class", "n", "doc_id", "tag"), "jaccard-alive")
     other = alive.groupBy("doc_id", "tag").agg(F.max("class").alias("class")).withColumnsRenamed({"doc_id": "_id", "tag": "_tag"})
     found = rows.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("class", "text")
@@ -367,9 +372,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = stage(_verified(pairs, sets), "jaccard-edges")
     if not more.isEmpty():
         labels = components(edges.union(more))
-    joined = texts.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    named = judged.select("set", "class").join(labels.withColumnRenamed("node", "class"), "class", "left").select("set", "class", F.coalesce("label", "class").alias("label"))
+    joined = texts.select("doc_id", "tag", "n", "set").join(named, "set", "left")
     smallest = joined.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("smallest"))
-    return joined.join(smallest, "label", "left").select("doc_id", "tag", "n", "class", F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"))
+    joined = joined.join(smallest, "label", "left")
+    return joined.select("doc_id", "tag", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"), F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
