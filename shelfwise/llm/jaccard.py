@@ -332,7 +332,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alive = judged.filter(f"low - s <= n - ceil(n * {PERCENT} / 100)")
     alive = stage(alive.select("class", "n", "doc_id", "tag"), "jaccard-alive")
     other = alive.groupBy("doc_id", "tag").agg(F.max("class").alias("class")).withColumnsRenamed({"doc_id": "_id", "tag": "_tag"})
-    found = rows.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("class", "text")
+    # a merge join at any size: what is kept grows with the documents, so it is no table to broadcast while it is small
+    found = rows.join(other.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))).select("class", "text")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -397,7 +398,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return other, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone_id")) & (F.col("_tag") == F.col("_gone_tag"))
 
     other, condition = matches(gone)
-    kept = key.join(other, condition, "left_anti")
+    kept = key.join(other.hint("merge"), condition, "left_anti")
     if not twice.isEmpty():
         other, condition = matches(twice)
         kept = kept.join(other, condition, "left_anti").unionByName(kept.join(other, condition, "left_semi").dropDuplicates([id_col, text_col]))
