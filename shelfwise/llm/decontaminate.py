@@ -9,6 +9,8 @@ from shelfwise.llm.common import pick, stage, words_of
 
 SHINGLE = 5
 CONTAINMENT = 0.75
+#: Class of the largest shingle sets, beyond what a text can hold.
+LARGEST_CLASS = 39
 #: Signature hashes that may be broadcast (8 bytes each, for every size class); beyond it they are joined by shuffle.
 BROADCAST_HASHES = 1_000_000
 
@@ -65,8 +67,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if n_hashes == 0:
         return rows.filter("false").select("doc_id", F.array(F.lit(0).cast("long")).alias("text_key"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_shared"), F.lit(0.0).alias("containment"))
     if n_hashes <= broadcast_hashes:
-        classes = items.sparkSession.range(40).select(F.col("id").cast("int").alias("class"))
-        searched = classes.join(signed, F.expr("need < shiftleft(2L, class)")).groupBy("class").agg(F.collect_set("hash").alias("wanted"))
+        able = F.explode(F.sequence(F.floor(F.log2(F.col("need").cast("double"))).cast("int"), F.lit(LARGEST_CLASS)))
+        searched = signed.select("hash", able.alias("class")).groupBy("class").agg(F.collect_set("hash").alias("wanted"))
         rows = rows.join(F.broadcast(searched), "class").withColumn("hits", F.array_intersect("hashes", "wanted")).drop("wanted", "hashes")
         found = rows.select("doc_id", "text", "words", "n_words", F.explode("hits").alias("hash")).join(F.broadcast(signed), "hash")
         found = found.groupBy("doc_id", "item_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2")).agg(F.first("words").alias("words"), F.first("n_words").alias("n_words"))
