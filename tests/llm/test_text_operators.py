@@ -173,6 +173,19 @@ def test_passages_cover_what_texts_share(spark, corpus):
     assert found[0].n_copies == 6
 
 
+@pytest.mark.parametrize("n, edits", [(50, [2]), (50, [47]), (55, [2, 52]), (60, [3, 56]), (50, [0])])
+def test_passages_with_edits_near_their_ends(spark, n, edits):
+    rng = random.Random(n + edits[0])
+    a = prose(rng, n).split()
+    b = ["edited" if k in edits else w for k, w in enumerate(a)]
+    p, q = shingles(" ".join(a)), shingles(" ".join(b))
+    assert len(p & q) >= 0.75 * len(p | q)
+    x, y = (passages.shingle_sequence(np.frombuffer(" ".join(t).encode(), np.uint8), np.array([0, len(" ".join(t))]))[0] for t in (a, b))
+    for u, v in ((x, y), (y, x)):
+        found = passages.matching_passages(u, v, 46)
+        assert found and all(f[1] - f[0] >= 45 and f[3] - f[2] >= 45 and f[4] >= 0.75 for f in found)
+
+
 def test_decontamination_equals_exact_containment(spark, corpus):
     rng = random.Random(9)
     items = [prose(rng, n) for n in (14, 30, 59, 3, 5)] + [None, ""]
