@@ -186,6 +186,26 @@ def test_passages_with_edits_near_their_ends(spark, n, edits):
         assert found and all(f[1] - f[0] >= 45 and f[3] - f[2] >= 45 and f[4] >= 0.75 for f in found)
 
 
+def test_passages_that_run_into_a_frequent_line(spark):
+    rng = random.Random(23)
+    line = prose(rng, 36)
+    rows = [(i, f"{prose(rng, rng.randint(20, 60))} {line} {prose(rng, 40)}") for i in range(240)]
+    for k in range(60):
+        own = prose(rng, 16).split()
+        near = ["edited" if k % 2 and i == 8 else w for i, w in enumerate(own)]
+        rows += [(1000 + 2 * k, f"{prose(rng, 30)} {' '.join(own)} {line} {prose(rng, 30)}"), (1001 + 2 * k, f"{prose(rng, 25)} {' '.join(near)} {line} {prose(rng, 35)}")]
+    rng.shuffle(rows)
+    found = {r.doc_id: r.passages for r in passages.near_passages(frame(spark, rows)).collect()}
+    sets = {i: passages.shingle_sequence(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for i, t in rows}
+    want = {i: {j for j in sets if j != i and passages.matching_passages(sets[i], sets[j], 46)} for i in sets}
+    assert all(k ^ 1 in want[k] for k in range(1000, 1120))
+    group = {i: {p.group_id for p in x} for i, x in found.items()}
+    for i, others in want.items():
+        assert bool(others) == (i in found)
+        for j in others:
+            assert group[i] & group[j]
+
+
 def test_decontamination_equals_exact_containment(spark, corpus):
     rng = random.Random(9)
     items = [prose(rng, n) for n in (14, 30, 59, 3, 5)] + [None, ""]
