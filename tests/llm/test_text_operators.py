@@ -206,6 +206,23 @@ def test_passages_that_run_into_a_frequent_line(spark):
             assert group[i] & group[j]
 
 
+def test_passages_at_the_threshold_are_met(spark):
+    rng = random.Random(29)
+    rows = []
+    while len(rows) < 600:
+        a = prose(rng, 70).split()
+        b = list(a)
+        for at in rng.sample(range(70), 2):
+            b[at] = "edited" + str(rng.randrange(10**6))
+        p, q = shingles(" ".join(a)), shingles(" ".join(b))
+        if 0.75 <= len(p & q) / len(p | q) <= 0.8:
+            rows += [(len(rows), f"{prose(rng, 30)} {' '.join(a)}"), (len(rows) + 1, f"{prose(rng, 20)} {' '.join(b)}")]
+    found = {r.doc_id: {p.other for p in r.passages} for r in passages.near_passages(frame(spark, rows)).collect()}
+    met = sum(k ^ 1 in found.get(k, ()) for k in range(0, 600, 2))
+    print("met", met, "of 300")
+    assert met >= 297
+
+
 def test_decontamination_equals_exact_containment(spark, corpus):
     rng = random.Random(9)
     items = [prose(rng, n) for n in (14, 30, 59, 3, 5)] + [None, ""]
