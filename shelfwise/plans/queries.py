@@ -309,9 +309,8 @@ TOKENS = r"""t as (select doc_id, source, list_distinct(list_filter(string_split
 
 @query(rf"with {TOKENS} select doc_id, len(tokens)::int as n_tokens, array_to_string(list_sort(tokens), ' ') as tokens from t")
 def name_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct accent-free words of a title (the first 200 characters stand for the name)."""
-    title = F.substring("text", 1, 200)
-    clean = F.trim(F.regexp_replace(F.regexp_replace(text.plain(title), "[^a-z0-9 ]", " "), " +", " "))
+    """Distinct accent-free words of a whole text."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(text.plain(F.col("text")), "[^a-z0-9 ]", " "), " +", " "))
     tokens = F.array_distinct(F.filter(F.split(clean, " "), lambda t: F.length(t) > 1))
     return table(spark, sf, "documents").select("doc_id", F.size(tokens).alias("n_tokens"), F.array_join(F.array_sort(tokens), " ").alias("tokens"))
 
