@@ -191,8 +191,8 @@ def price_periods(spark: SparkSession, sf: str) -> DataFrame:
   select kind, day, store, b[1] as price_cents, b[2] as product_id from (
     select d.kind, d.day, store, min(row(price_cents, product_id)) as b from days d join open o on d.kind = o.kind and d.day >= o."from" and (d.day < o.until or (o.is_last and d.day = o.until)) group by 1, 2, 3)""")
 def price_history(spark: SparkSession, sf: str) -> DataFrame:
-    """Cheapest price of a kind per store on each day of change, for a basket of forty products (the feature's limit)."""
-    p = _periods(spark, sf).filter("product_id <= 40").join(products(spark, sf).select("product_id", "kind"), "product_id")
+    """Cheapest price of a kind per store on each day of change, over all products."""
+    p = _periods(spark, sf).join(products(spark, sf).select("product_id", "kind"), "product_id")
     w = Window.partitionBy("store", "product_id").orderBy("first_seen", "period")
     following = F.lead("first_seen").over(w)
     held = p.withColumn("from", F.col("first_seen")).withColumn("is_last", following.isNull()).withColumn("until", F.coalesce(following, F.col("last_seen")))
