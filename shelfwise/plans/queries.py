@@ -324,10 +324,10 @@ def folded_names(spark: SparkSession, sf: str) -> DataFrame:
 @query("""select p_partkey, p_size, case p_size % 4 when 0 then case when p_size <= 30 then p_size * 1.0::double end when 1 then p_size / 1000.0 * 6 when 2 then p_size / 100.0 else p_size * 1.0 end::double as total, case when p_size % 4 = 0 and p_size > 30 then null else case p_size % 4 when 0 then 'kg' when 1 then 'l' when 2 then 'l' else 'un' end end as unit, case when p_size % 4 = 0 and p_size > 30 then null when p_size % 4 = 1 then 6 else 1 end as pack_count
   from part where p_size % 4 <> 1 or p_size >= 10""")
 def parsed_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    """Sizes read back from names made with thousands dots, multipacks, centilitres and units; over 30 kg is refused."""
+    """Sizes read back from names made with thousands dots, multipacks, centilitres and units; over 30 kg and under one centilitre is refused."""
     n = F.col("p_size").cast("string")
     name = F.concat("p_name", F.lit(" "), F.when(F.col("p_size") % 4 == 0, F.concat(n, F.lit(".000 g"))).when(F.col("p_size") % 4 == 1, F.concat(F.lit("6 x "), n, F.lit(" ml"))).when(F.col("p_size") % 4 == 2, F.concat(n, F.lit("cl"))).otherwise(F.concat(n, F.lit(" un"))))
-    rows = table(spark, sf, "part").filter("p_size % 4 <> 1 or p_size >= 10").withColumn("s", measures.parse_size(name))
+    rows = table(spark, sf, "part").withColumn("s", measures.parse_size(name))
     return rows.select("p_partkey", "p_size", "s.total", "s.unit", "s.pack_count")
 
 

@@ -39,3 +39,11 @@ def test_price_history_has_every_product(spark):
                 want[key] = min(want.get(key, (price, product)), (price, product))
     got = {(r.kind, r.day, r.store): (r.price_cents, r.product_id) for r in queries.price_history(spark, SF).collect()}
     assert got == want
+
+
+def test_parsed_sizes_has_the_refused_rows(spark):
+    sizes = {r.p_partkey: r.p_size for r in catalog.table(spark, SF, "part").collect()}
+    got = {r.p_partkey: r for r in queries.parsed_sizes(spark, SF).collect()}
+    assert got.keys() == sizes.keys()
+    small = [got[k] for k, n in sizes.items() if n in (1, 5, 9)]
+    assert small and all((r.total, r.unit, r.pack_count) == (None, None, None) for r in small)
