@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import pick, stage
 
-#: A subtree is template if this many pages of its host have it, and this share of the host's pages.
+#: A subtree is template if so many pages of its host with different main text have it, and this share of all such pages.
 MIN_PAGES = 4
-MIN_SHARE = 0.02
+MIN_SHARE = 0.01
+#: The share for a single paragraph, heading or list item, which different articles may well have in common.
+PROSE_SHARE = 0.5
 
 # Element names of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -25,12 +28,14 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CLOSES_P = BLOCKS - frozenset("body head html td th tr tbody thead tfoot caption legend summary figcaption dd dt li".split())
 #: An open element of the second kind ends where one of the first begins, up to the enclosing container.
 IMPLIED = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")), "option": (("option",), ("select",)), "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)), "tfoot": (("thead", "tbody", "tr", "td", "th"), ("table",))}
+#: Blocks of running text; on their own they are template only where they stand outside the article.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot caption blockquote pre figcaption summary legend hr address".split())
 #: Words of class, id and role that mark what is not main text.
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|sidebar|side-bar|aside|menu\w*|nav\w*|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|respond|reply|replies|discussion|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|popup|modal|overlay|widget|pagination|pager|toolbar|skip-link|navigation|complementary|contentinfo|dialog|form)(?:$|[\s_-])",
     re.I,
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|aria-label|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -58,13 +63,13 @@ def parse(html: str) -> Node:
     while at < n:
         m = TOKEN.match(html, at)
         at = m.end()
-        tag = m[2]
+        ends, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])  # the second kind has an unclosed quote
         if tag is None:
             if m[0][0] != "<" or m[0] == "<":
                 stack[-1].children.append(m[0])
             continue
         tag = tag.lower()
-        if m[1]:
+        if ends:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -78,47 +83,41 @@ def parse(html: str) -> Node:
                 if stack[k].tag in BLOCKS:
                     break
         elif tag in IMPLIED:
-            ends, stops = IMPLIED[tag]
+            before, stops = IMPLIED[tag]
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends:
+                if stack[k].tag in before:
                     del stack[k:]
                     break
                 if stack[k].tag in stops:
                     break
-        node = Node(tag, m[3])
+        node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             stop = end.start() if end else n
             node.children.append(html[at:stop])
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
     return root
 
 
-def subtree_hashes(root: Node) -> dict[int, str]:
-    """Hashes of element subtrees by node: tag, children's hashes and texts. Only of blocks with text outside main content.
+def subtree_hashes(root: Node) -> dict[int, int]:
+    """Hash of each unmarked element's subtree by node: its tag, its children's hashes and texts; none without text.
 
     Works from the leaves up without recursion, as pages may nest to any depth.
     """
-    order, todo = [], [(root, False)]
+    order, todo = [], [root]
     while todo:
-        node, inside = todo.pop()
-        inside = inside or node.tag in ("article", "main")
-        order.append((node, inside))
-        todo += [(c, inside) for c in node.children if isinstance(c, Node)]
-    every: dict[int, str] = {}
-    names: dict[int, str] = {}
-    for node, inside in reversed(order):
-        if inside:
-            continue
-        parts = [" ".join(unescape(c).split()) if isinstance(c, str) else every.get(id(c), "") for c in node.children]
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node.children if isinstance(c, Node) and not c.marked]
+    out: dict[int, int] = {}
+    for node in reversed(order):
+        parts = [" ".join(unescape(c).split()) if isinstance(c, str) else str(out.get(id(c), "")) for c in node.children]
         if any(parts):
-            every[id(node)] = hashlib.blake2b("\x1f".join([node.tag, *parts]).encode("utf-8", "replace"), digest_size=12).hexdigest()
-            if node.tag in BLOCKS and node.tag not in ("html", "body", "head"):
-                names[id(node)] = every[id(node)]
-    return names
+            out[id(node)] = xxhash.xxh3_64_intdigest("\x1f".join([node.tag, *parts]).encode("utf-8", "replace")) - (1 << 63)
+    return out
 
 
 def _content(root: Node) -> list[Node]:
@@ -138,14 +137,17 @@ def _content(root: Node) -> list[Node]:
     return [root]
 
 
-def main_text(root: Node, template: frozenset[str], names: dict[int, str]) -> str:
-    """Blocks of main text in page order, white space inside a block as one space, joined by a line feed."""
-    blocks: list[str] = []
+def text_blocks(root: Node) -> list[tuple[str, list[int], list[int]]]:
+    """The blocks that no rule leaves out, in page order, white space inside as one space: text, and the hashes of the
+    subtrees they are in that may be template: containers, and prose elements outside article and main."""
+    blocks: list[tuple[str, list[int], list[int]]] = []
     parts: list[str] = []
+    inside: list[tuple[int, bool]] = []
+    names = subtree_hashes(root)
 
     def flush() -> None:
         if block := " ".join(unescape("".join(parts)).split()):
-            blocks.append(block)
+            blocks.append((block, [h for h, prose in inside if not prose], [h for h, prose in inside if prose]))
         parts.clear()
 
     content = _content(root)
@@ -153,23 +155,38 @@ def main_text(root: Node, template: frozenset[str], names: dict[int, str]) -> st
     todo: list = list(reversed(content))
     while todo:
         node = todo.pop()
-        if node is None:
+        if isinstance(node, tuple):  # the end of a block element
             flush()
+            if node[0]:
+                inside.pop()
         elif isinstance(node, str):
             parts.append(node)
         elif node.tag == "br":
             parts.append(" ")
-        elif node.marked or (whole and node.tag == "header") or (template and names.get(id(node)) in template):
+        elif node.marked or (whole and node.tag == "header"):
             if node.tag in BLOCKS:
                 flush()
         elif node.tag in BLOCKS:
             flush()
-            todo.append(None)
+            prose = node.tag in PROSE
+            named = id(node) in names and node.tag not in ("html", "body") and not (node in content or (prose and not whole))
+            if named:
+                inside.append((names[id(node)], prose))
+            todo.append((named,))
             todo += reversed(node.children)
         else:
             todo += reversed(node.children)
     flush()
-    return "\n".join(blocks)
+    return blocks
+
+
+def page_votes(blocks: list[tuple[str, list[int], list[int]]]) -> tuple[int, int]:
+    """Two min-hashes of the three-word shingles of a page's blocks: near copies of a page mostly share both."""
+    words = " ".join(b[0] for b in blocks).split()
+    hashed = [xxhash.xxh3_64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))]
+    low = min(hashed)
+    other = min(h * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF for h in hashed)
+    return low - (1 << 63), other - (1 << 63)
 
 
 def host_of(url: str) -> str:
@@ -177,45 +194,55 @@ def host_of(url: str) -> str:
     return (re.match(r"(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)", url or "") or ["", ""])[1].lower()
 
 
-def site_templates(marks: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, subtree) of subtrees that at least min_pages pages and that share of their host's pages have.
+def site_templates(marks: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, prose_share: float = PROSE_SHARE) -> DataFrame:
+    """(host, subtree) of subtrees that at least min_pages different pages and that share of their host's pages have.
 
-    marks: a row per page with host and its distinct subtree hashes. Counts are summed before they are shuffled, so a
-    host with a third of all pages sends a row per subtree and task.
+    marks: host, v1, v2 (votes of a page) and its subtrees (array of subtree, prose). Pages of equal votes are copies
+    and count once; of the two counts of votes the smaller holds. Rows are made distinct before they are counted, so a
+    host or a subtree with a third of all pages is no single task's work.
     """
-    seen = marks.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    total = marks.groupBy("host").agg(F.count("*").alias("n_pages"))
-    often = seen.filter(F.col("n") >= min_pages).join(total, "host")
-    return often.filter(F.col("n") >= F.col("n_pages") * min_share).select("host", "subtree")
-
-
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """Main text of whole pages: site templates of the page's host removed, boilerplate elements left out by rule.
-
-    Main content is the page's article (or main) elements where there are any; subtrees inside them are never taken
-    for template, so a paragraph that many articles share stays. Null html gives an empty text; a null or malformed
-    url is a host of its own; repeated rows stay and count as pages; other columns are ignored; empty table: empty.
-    Returns page_id, url, text, n_chars.
+    votes = lambda: F.least(F.countDistinct("v1"), F.countDistinct("v2"))
+    seen = marks.select("host", "v1", "v2", F.explode("subtrees").alias("s")).select("host", "v1", "v2", "s.subtree", "s.prose")
+    often = seen.groupBy("host", "subtree", "prose").agg(votes().alias("n")).filter(F.col("n") >= min_pages)
+    total = marks.groupBy("host").agg(votes().alias("n_pages"))
+    share = F.when(F.col("prose"), prose_share).otherwise(min_share)
+    return often.join(total, "host").filter(F.col("n") >= F.col("n_pages") * share).select("host", "subtree").distinct()
+
+
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, prose_share: float = PROSE_SHARE) -> DataFrame:
+    """Main text of whole pages: elements that mark themselves as no main text are left out by rule, then the site's templates.
+
+    1. A page is parsed once. Its blocks, read from its article (or main) elements where there are any, are written
+       with the hashes of the element subtrees they are in. What the rules leave out needs no count.
+    2. Subtrees are counted per host in pages of different text: copies and near copies of a page vote once, so what an
+       article shares with its own copies is no template, however often it is copied.
+    3. Blocks in a recurring subtree are deleted, inside articles too. There single paragraphs, headings and items are
+       no subtree of their own, as different articles may quote the same. A page all of whose blocks recur keeps them.
+
+    Null html gives an empty text; null and malformed urls are one host without name; repeated rows stay; other
+    columns are ignored; empty table: empty. Returns page_id, url, text, n_chars.
     """
-    rows = pick(pages, page_id=id_col, url=url_col, html=html_col).withColumn("key", F.xxhash64("page_id", "url", "html"))
-
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [sorted(set(subtree_hashes(parse(h)).values())) if isinstance(h, str) else [] for h in b.html]
-            yield pd.DataFrame({"key": b.key, "host": [host_of(u) if isinstance(u, str) else "" for u in b.url], "subtrees": found})
-
-    marks = stage(rows.select("key", "url", "html").mapInPandas(mark, "key bigint, host string, subtrees array<string>"), "html-marks")
-    template = stage(site_templates(marks, min_pages, min_share), "html-template")
-    dropped = marks.select("key", "host", F.explode("subtrees").alias("subtree")).distinct().join(template, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("template"))
+    rows = pick(pages, page_id=id_col, url=url_col, html=html_col)
+    unit = pa.list_(pa.struct([("text", pa.string()), ("subtrees", pa.list_(pa.int64()))]))
+    mark = pa.list_(pa.struct([("subtree", pa.int64()), ("prose", pa.bool_())]))
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
-            texts = []
-            for h, t in zip(b.html, b.template, strict=True):
-                root = parse(h) if isinstance(h, str) else Node("#root")
-                names = subtree_hashes(root) if t is not None and len(t) else {}
-                texts.append(main_text(root, frozenset(t) if names else frozenset(), names))
-            yield pd.DataFrame({"page_id": b.page_id, "url": b.url, "text": texts, "n_chars": [len(t) for t in texts]})
+            found = [text_blocks(parse(h)) if h else [] for h in b.column(2).to_pylist()]
+            votes = [page_votes(x) if x else (None, None) for x in found]
+            hosts = [host_of(u) if u else "" for u in b.column(1).to_pylist()]
+            blocks = [[{"text": t, "subtrees": c + p} for t, c, p in x] for x in found]
+            subtrees = [[{"subtree": s, "prose": False} for s in {s for _, c, _ in x for s in c}] + [{"subtree": s, "prose": True} for s in {s for _, _, p in x for s in p}] for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(b)), pa.int64()), b.column(0), b.column(1), pa.array(hosts), *(pa.array(v, pa.int64()) for v in (list(zip(*votes, strict=True)) or [[], []])), pa.array(subtrees, mark), pa.array(blocks, unit)], ["row", "page_id", "url", "host", "v1", "v2", "subtrees", "blocks"])
+            row += len(b)
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.join(dropped, "key", "left").select("page_id", "url", "html", "template").mapInPandas(extract, f"page_id {kind}, url string, text string, n_chars bigint")
+    made = stage(rows.mapInArrow(read, f"row bigint, page_id {kind}, url string, host string, v1 bigint, v2 bigint, subtrees array<struct<subtree: bigint, prose: boolean>>, blocks array<struct<text: string, subtrees: array<bigint>>>"), "html-blocks")
+    template = stage(site_templates(made, min_pages, min_share, prose_share), "html-template")
+    listed = made.select("row", "host", F.explode("subtrees.subtree").alias("subtree")).join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("template"))
+    joined = made.select("row", "page_id", "url", "blocks").join(listed, "row", "left")
+    own = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["subtrees"], F.col("template")), F.lit(False)))
+    text = F.array_join(F.when(F.size(own) > 0, own).otherwise(F.col("blocks"))["text"], "\n")
+    out = joined.select("page_id", "url", text.alias("text"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

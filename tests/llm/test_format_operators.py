@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from shelfwise.llm import chat, html, media, secrets
+from shelfwise.llm import chat, media, secrets
 
 TEXTS = ["", None, "a", "x" * 63, "x" * 64, "x" * 65, "é中😀" * 50, "\x00\xff" * 200, "".join(chr(32 + i * 7 % 90) for i in range(5000))]
 
@@ -156,27 +156,3 @@ def test_randomness_model_on_held_out_samples():
     positive, negative = secrets.labelled_samples(seed=99, n=1500)
     assert np.mean([model(s) for s in positive]) > 0.9
     assert np.mean([model(s) for s in negative]) < 0.01
-
-
-PAGE = "<html><head><title>T</title><style>p{}</style></head><body><header>Top</header><nav><ul><li>Home</ul></nav><div class='cookie-notice'>We use</div><article><h1>A &amp; B</h1><p>one<br>two <b>three<p>four&nbsp;five<ul><li>six<li>seven</ul><script>x('</p>')</script><form>mail</form><section class='comments'><p>nice</p></section></article><aside>side</aside><footer>&copy;</footer>"
-
-
-def test_main_text_of_a_page():
-    assert html.main_text(html.parse(PAGE), frozenset(), {}) == "A & B\none two three\nfour five\nsix\nseven"
-
-
-@pytest.mark.parametrize("page", ["", "plain <text", "<p>a < b</p>", "<!-- open", "<div>" * 3000 + "deep", "<script>never closed", "</p></div>x", "<p class=\"unclosed>text"])
-def test_malformed_pages_do_not_fail(page):
-    root = html.parse(page)
-    html.subtree_hashes(root)
-    assert isinstance(html.main_text(root, frozenset(), {}), str)
-
-
-def test_site_templates_are_removed_by_host(spark):
-    body = "<div><p>Join our circle today</p></div><div><p>Story {i}</p><p>More of {i}</p></div>"
-    rows = [(i, "http://A.example/x" if i < 8 else f"http://b{i}.example", body.format(i=i)) for i in range(10)] + [(20, None, None), (21, "bad url", PAGE), (0, "http://A.example/x", body.format(i=0))]
-    docs = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as text", "1 as host", "2 as key")
-    out = {r.page_id: r for r in html.extract_main_text(docs).collect()}
-    assert out[3].text == "Story 3\nMore of 3" and out[9].text == "Join our circle today\nStory 9\nMore of 9"
-    assert out[20].text == "" and out[21].text.startswith("A & B") and out[3].n_chars == len(out[3].text)
-    assert html.extract_main_text(docs.filter("false")).count() == 0
