@@ -241,7 +241,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     made = stage(rows.mapInArrow(read, f"row bigint, page_id {kind}, url string, host string, v1 bigint, v2 bigint, subtrees array<struct<subtree: bigint, prose: boolean>>, blocks array<struct<text: string, subtrees: array<bigint>>>"), "html-blocks")
     template = stage(site_templates(made, min_pages, min_share, prose_share), "html-template")
     listed = made.select("row", "host", F.explode("subtrees.subtree").alias("subtree")).join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("template"))
-    joined = made.select("row", "page_id", "url", "blocks").join(listed, "row", "left")
+    able = F.size("subtrees") > 0  # other pages cannot lose a block and need no join
+    columns = made.select("row", "page_id", "url", "blocks", able.alias("able"))
+    joined = columns.filter("able").join(listed, "row", "left").unionByName(columns.filter("not able").withColumn("template", F.lit(None).cast("array<bigint>")))
     own = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["subtrees"], F.col("template")), F.lit(False)))
     text = F.array_join(F.when(F.size(own) > 0, own).otherwise(F.col("blocks"))["text"], "\n")
     out = joined.select("page_id", "url", text.alias("text"))
