@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,12 +60,16 @@ def fingerprint(paths: Iterable[str]) -> str:
 
 
 def _index(layouts: tuple[Layout, ...]) -> dict[str, Layout]:
-    """Layouts by the fingerprint of each combination of their fields; the first that lists a combination has it."""
+    """Layouts by the fingerprint of each combination of their fields; the first that lists a combination has it.
+
+    A record without any field has no layout.
+    """
     out: dict[str, Layout] = {}
     for x in layouts:
         for n in range(len(x.optional) + 1):
             for some in combinations(x.optional, n):
-                out.setdefault(fingerprint({*x.required, *some}), x)
+                if x.required or some:
+                    out.setdefault(fingerprint({*x.required, *some}), x)
     return out
 
 
@@ -130,12 +134,15 @@ def format_chats(records: DataFrame, id_col: str, order_col: str, record_col: st
     rows = pick(records, conv_id=id_col, turn=order_col, record=record_col)
     index = _index(layouts)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["position", "piece", "loss_start", "loss_end", "layout", "unknown"]
+    types = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, at = [], []
-            for i, raw in enumerate(b.record):
+            for i, raw in enumerate(b.column(2).to_pylist()):
                 try:
-                    record = json.loads(raw) if isinstance(raw, str) else {}
+                    record = json.loads(raw) if raw is not None else {}
                 except ValueError:
                     record = None
                 mark = fingerprint(field_paths(record)) if isinstance(record, dict) else "malformed"
@@ -147,60 +154,65 @@ def format_chats(records: DataFrame, id_col: str, order_col: str, record_col: st
                 for k, (role, text) in enumerate(canonical_turns(record, layout)):
                     out.append((k, *format_turn(role, text), layout.name, None))
                     at.append(i)
-            got = pd.DataFrame(out, columns=["position", "piece", "loss_start", "loss_end", "layout", "unknown"])
-            got.insert(0, "conv_id", b.conv_id.to_numpy()[at] if at else [])
-            got.insert(1, "turn", b.turn.to_numpy()[at] if at else [])
-            yield got
+            owner = pa.array(at, pa.int64())
+            columns = [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 6, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(owner), b.column(1).take(owner), *columns], ["conv_id", "turn", *names])
 
     kinds = {n: rows.schema[n].dataType.simpleString() for n in ("conv_id", "turn")}
-    return rows.mapInPandas(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, position int, piece string, loss_start int, loss_end int, layout string, unknown string")
+    return rows.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, position int, piece string, loss_start int, loss_end int, layout string, unknown string")
 
 
 def chat_digests(pieces: DataFrame) -> DataFrame:
     """Per conversation: digests of the turns and of the text under the loss mask, read back from format_chats() rows.
 
     A task streams its rows in order and holds the digests of the current conversation only, so a conversation with
-    a large share of all rows costs time but no memory. A null conversation id is a conversation of its own.
-    Returns conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    a large share of all rows costs time but no memory. A null conversation id is a conversation of its own. Records
+    without a layout have no turn; n_unknown counts them, also where a conversation has no other.
+    Returns conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_unknown.
     """
-    rows = pieces.filter("piece is not null").select("conv_id", "turn", "position", "piece", "loss_start", "loss_end")
+    rows = pieces.select("conv_id", "turn", "position", "piece", "loss_start", "loss_end")
     ordered = rows.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "position", "piece")
+    names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_unknown"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state, out = object(), None, []
-        key = lambda v: None if pd.isna(v) else v
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, out, kind = object(), None, [], None
 
         def close() -> None:
             if state:
-                n, turns, chars, loss, total = state
-                out.append((now, n, turns.hexdigest(), chars, loss.hexdigest(), total))
+                n, turns, chars, loss, total, unknown = state
+                out.append((now, n, turns.hexdigest(), chars, loss.hexdigest(), total, unknown))
+
+        def batch() -> pa.RecordBatch:
+            conv, *rest = list(zip(*out, strict=True)) or [[]] * 7
+            return pa.RecordBatch.from_arrays([pa.array(conv, kind), *(pa.array(c, t) for c, t in zip(rest, types, strict=True))], ["conv_id", *names])
 
         for b in batches:
-            for conv, piece, a, z in zip(b.conv_id, b.piece, b.loss_start, b.loss_end, strict=True):
-                if key(conv) != now:
+            kind = b.schema.field(0).type
+            for conv, piece, a, z in zip(*(b.column(k).to_pylist() for k in (0, 3, 4, 5)), strict=True):
+                if conv != now:
                     close()
-                    now, state = key(conv), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                if piece is None:
+                    state[5] += 1
+                    continue
                 role, text = read_turn(piece)
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 if z > a:
-                    learnt = unescape(piece[int(a) : int(z)])
+                    learnt = unescape(piece[a:z])
                     state[2] += len(learnt)
                     state[3].update(learnt.encode("utf-8", "surrogatepass"))
                 state[4] += len(piece)
             if len(out) >= 5000:
-                yield frame(out)
+                yield batch()
                 out.clear()
         close()
-        yield frame(out)
+        if kind is not None:
+            yield batch()
 
     kind = pieces.schema["conv_id"].dataType.simpleString()
-
-    def frame(out: list) -> pd.DataFrame:
-        got = pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-        return got.astype({"conv_id": "Int64"}) if kind in ("bigint", "int") else got
-
-    return ordered.mapInPandas(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return ordered.mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_unknown bigint")
 
 
 def assembled(pieces: DataFrame) -> DataFrame:

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import pick, stage, words_of
 
 SHINGLE = 5
 CONTAINMENT = 0.75
-#: Class of the largest shingle sets, beyond what a text can hold.
-LARGEST_CLASS = 39
-#: Signature hashes that may be broadcast (8 bytes each, for every size class); beyond it they are joined by shuffle.
-BROADCAST_HASHES = 1_000_000
 
 
 def _hashes(words: Column, n: Column) -> Column:
@@ -44,43 +40,38 @@ def size_class(n: Column) -> Column:
     return F.coalesce(F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))).cast("int"), F.lit(0))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", containment: float = CONTAINMENT, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """Pairs of a document and a benchmark item of whose word shingles the document holds at least that share.
 
     Documents are partitioned by the size of their shingle set. An item of q shingles needs c = ceil(share * q) of
     them, so it is searched only in classes that can hold c; its MinHash signature is the q - c + 1 smallest
     shingle hashes. A document that holds c of the q shingles cannot miss all of the signature, so the search has
     recall 1 for any document length, unlike signatures of a fixed length on the side of the long documents.
-    Documents that hold a signature hash are verified on the shingle texts themselves.
+    Shingle hashes of all documents are joined with the signatures (Spark broadcasts those while they are small, and
+    shuffles both sides beyond). Documents with a hit are verified on the shingle texts: theirs are joined with the
+    items' and counted by pair, so that neither a long text nor an item in many documents is one task's work.
 
     Words are runs of characters other than ASCII white space, lower-cased. Null and empty texts match nothing. A
     text of fewer than five words is one shingle. Repeated documents give one row per (doc_id, text); rows with the
-    same (doc_id, item_id) and text are one. Null ids are kept as ids. Empty tables: empty result.
+    same (item_id) and text are one item; a second text of an item is an item of its own with that id. Null ids are
+    kept as ids. Empty tables: empty result.
     Returns doc_id, text_key (two hashes of the text), item_id, n_item, n_shared, containment.
     """
-    items = stage(shingled(pick(benchmark, item_id=item_col, text=item_text_col).distinct()).filter("n_words > 0"), "bench-items")
+    items = shingled(pick(benchmark, item_id=item_col, text=item_text_col).distinct()).filter("n_words > 0")
+    items = stage(items.select("item_id", F.xxhash64("item_id", "text").alias("item"), "words", "n_words", "hashes"), "bench-items")
     q = F.size("hashes")
-    items = items.withColumn("need", F.ceil(q * containment - 1e-9).cast("int")).withColumn("signature", F.slice(F.array_sort("hashes"), 1, F.size("hashes") - F.col("need") + 1))
-    signed = items.select("item_id", "need", F.explode("signature").alias("hash"))
-    n_hashes = signed.count()
-    rows = shingled(pick(docs, doc_id=id_col, text=text_col)).withColumn("class", size_class(F.size("hashes")))
-    if n_hashes == 0:
-        return rows.filter("false").select("doc_id", F.array(F.lit(0).cast("long")).alias("text_key"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_shared"), F.lit(0.0).alias("containment"))
-    if n_hashes <= broadcast_hashes:
-        able = F.explode(F.sequence(F.floor(F.log2(F.col("need").cast("double"))).cast("int"), F.lit(LARGEST_CLASS)))
-        searched = signed.select("hash", able.alias("class")).groupBy("class").agg(F.collect_set("hash").alias("wanted"))
-        rows = rows.join(F.broadcast(searched), "class").withColumn("hits", F.array_intersect("hashes", "wanted")).drop("wanted", "hashes")
-        found = rows.select("doc_id", "text", "words", "n_words", F.explode("hits").alias("hash")).join(F.broadcast(signed), "hash")
-        found = found.groupBy("doc_id", "item_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2")).agg(F.first("words").alias("words"), F.first("n_words").alias("n_words"))
-    else:
-        probes = rows.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"), "class", F.explode("hashes").alias("hash"))
-        found = probes.join(signed, "hash").filter("need < shiftleft(2L, class)").select("doc_id", "k1", "k2", "item_id").distinct()
-        keyed = rows.select("doc_id", "words", "n_words", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2")).dropDuplicates(["doc_id", "k1", "k2"])
-        found = found.alias("f").join(keyed.alias("r"), F.col("f.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("f.k1") == F.col("r.k1")) & (F.col("f.k2") == F.col("r.k2"))).select("f.*", "words", "n_words")
-    texts = items.select(F.col("item_id").alias("item"), "need", _texts(F.col("words"), F.col("n_words")).alias("wanted"))
-    pairs = found.join(texts, F.col("item_id").eqNullSafe(F.col("item"))).withColumn("own", _texts(F.col("words"), F.col("n_words")))
-    pairs = pairs.withColumn("n_shared", F.size(F.array_intersect("wanted", "own")).cast("long")).withColumn("n_item", F.size("wanted").cast("long")).filter("n_shared >= need")
-    return pairs.select("doc_id", F.array("k1", "k2").alias("text_key"), "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    items = items.withColumn("need", F.ceil(q * containment - 1e-9).cast("int"))
+    signed = items.select("need", F.explode_outer(F.slice(F.array_sort("hashes"), 1, q - F.col("need") + 1)).alias("hash")).groupBy("hash").agg(F.min("need").alias("need"))
+    wanted = items.select("item_id", "item", "need", F.explode_outer(_texts(F.col("words"), F.col("n_words"))).alias("shingle"))
+    wanted = wanted.withColumn("n_item", F.count("*").over(Window.partitionBy("item")))
+
+    keyed = pick(docs, doc_id=id_col, text=text_col).withColumn("k1", F.coalesce(F.xxhash64("text"), F.lit(0))).withColumn("k2", F.coalesce(F.xxhash64(F.lit(7), "text"), F.lit(0)))
+    probes = shingled(keyed).select("k1", "k2", size_class(F.size("hashes")).alias("class"), F.explode_outer("hashes").alias("hash"))
+    hit = stage(probes.join(stage(signed, "bench-signatures"), "hash").filter("need < shiftleft(2L, class)").select("k1", "k2").distinct(), "bench-hits")
+    found = keyed.join(hit, ["k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
+    own = shingled(found).select("doc_id", "k1", "k2", F.explode_outer(_texts(F.col("words"), F.col("n_words"))).alias("shingle"))
+    pairs = own.join(stage(wanted, "bench-shingles"), "shingle").groupBy("doc_id", "k1", "k2", "item_id", "item").agg(F.count("*").alias("n_shared"), F.max("n_item").alias("n_item"), F.max("need").alias("need"))
+    return pairs.filter("n_shared >= need").select("doc_id", F.array("k1", "k2").alias("text_key"), "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -88,4 +79,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     text_col = options.get("text_col", "text")
     bad = stage(contaminated(docs, benchmark, **options).select(F.get("text_key", 0).alias("_bad1"), F.get("text_key", 1).alias("_bad2")).distinct(), "bench-found")
     text = F.col(f"`{text_col}`")
-    return docs.join(bad, (F.xxhash64(text) == F.col("_bad1")) & (F.xxhash64(F.lit(7), text) == F.col("_bad2")), "left_anti")
+    return docs.join(bad, (F.coalesce(F.xxhash64(text), F.lit(0)) == F.col("_bad1")) & (F.coalesce(F.xxhash64(F.lit(7), text), F.lit(0)) == F.col("_bad2")), "left_anti")

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import byte_view, pick
+from shelfwise.llm.common import byte_view, chunks, held_out, pick
 
 UNDETERMINED = "und"
 WINDOW = 256
@@ -21,6 +21,10 @@ EMBEDDING = 8
 #: The training sample: at most so many documents of a language, and so many crops of each.
 PER_LANGUAGE = 400
 CROPS = 5
+#: Languages that are learned, the most frequent ones; it bounds the sample.
+LANGUAGES = 256
+#: Lowest score of a text whose language counts as known.
+MIN_SCORE = 0.6
 EPOCHS = 8
 #: Windows in one numpy step; what a step needs stays in the processor's cache.
 BATCH = 96
@@ -128,28 +132,42 @@ def train(samples: list[tuple[str, str]], seed: int = 5, epochs: int = EPOCHS) -
     return net
 
 
-def held_out(doc_id: Column) -> Column:
-    """Whether a document is kept from training: crc32 of its id as text leaves 1 when divided by 3."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, crops: int = CROPS, languages: int = LANGUAGES) -> ByteConvNet:
+    """Train on crops of at most per_language documents of each of the most frequent languages, none of them held out.
 
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, crops: int = CROPS) -> ByteConvNet:
-    """Train on crops of at most per_language documents of each language, in hash order, none of them held out.
-
-    The documents are chosen on ids and labels alone (partial limits keep the shuffle small); only their crops are
-    collected: at most per_language * crops short strings a language.
+    A language's documents are those whose id has the lowest hashes. Languages are counted first, so that each row can
+    tell by its own hash whether it may be among them: only about twice the wanted rows are ranked and shuffled,
+    however large the table. Collected are at most languages * per_language * crops short strings.
     """
-    rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_id").distinct()
+    rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    bound = counts.select("lang", F.least(F.lit(1.0), 2.0 * per_language / F.col("n")).alias("share"))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(31), "doc_id"), 1)
+    near = rows.select("doc_id", "lang", place.alias("place")).join(F.broadcast(bound), "lang").filter(F.col("place") <= F.col("share") * float(2**63))
+    chosen = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).filter(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
     length = F.length("text")
     crop = lambda k: F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(length - WINDOW, F.lit(0)) + 1) + 1).cast("int"), F.lit(WINDOW))
-    got = rows.filter(F.col("text").isNotNull()).join(chosen, "doc_id", "left_semi").select("lang", F.explode(F.array(*(crop(k) for k in range(crops)))).alias("crop")).distinct().orderBy("lang", "crop").collect()
+    got = rows.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", F.explode(F.array(*(crop(k) for k in range(crops)))).alias("crop")).distinct().orderBy("lang", "crop").collect()
     return train([(r.lang, r.crop) for r in got])
 
 
+def classify(texts: pa.Array, net: ByteConvNet) -> tuple[list[str], np.ndarray]:
+    """Language and score of every whole text: log-probabilities of its windows, weighted by their bytes, averaged."""
+    letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    data, offsets = byte_view(texts)
+    total = np.zeros((len(texts), len(net.languages)))
+    for a, z in chunks(offsets, 4 << 20):
+        windows, owner = cut(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
+        held = (windows != 0).sum(axis=1)
+        np.add.at(total, owner + a, net.log_probabilities(windows) * held[:, None])
+    p = np.exp(_log_softmax(total / np.maximum(np.diff(offsets), 1)[:, None]))
+    best = p.argmax(axis=1)
+    names = [net.languages[k] if x else UNDETERMINED for k, x in zip(best, letters, strict=True)]
+    return names, np.where(letters, np.clip(p[np.arange(len(texts)), best], 0, 1), 0.0)
+
+
 def predict(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """lang_pred and score of every whole text: log-probabilities of its windows, weighted by their bytes, averaged.
+    """lang_pred and score of every whole text.
 
     A null text and one without any letter are `und` with score 0. Repeated rows stay; other columns are ignored;
     empty table: empty. Returns doc_id, lang_pred, score.
@@ -158,51 +176,33 @@ def predict(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            letters = pc.fill_null(pc.match_substring_regex(b.column(1), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            data, offsets = byte_view(b.column(1))
-            total = np.zeros((len(b), len(net.languages)))
-            for a, z in _ranges(offsets):
-                windows, owner = cut(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
-                held = (windows != 0).sum(axis=1)
-                np.add.at(total, owner + a, net.log_probabilities(windows) * held[:, None])
-            mean = total / np.maximum(np.diff(offsets), 1)[:, None]
-            p = np.exp(_log_softmax(mean))
-            best = p.argmax(axis=1)
-            names = [net.languages[k] if x else UNDETERMINED for k, x in zip(best, letters, strict=True)]
-            score = np.where(letters, np.clip(p[np.arange(len(b)), best], 0, 1), 0.0)
+            names, score = classify(b.column(1), net)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def _ranges(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    from shelfwise.llm.common import chunks
-
-    yield from chunks(offsets, most)
-
-
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """fit() and predict(). Returns doc_id, held_out, lang_pred, score."""
     net = fit(docs, id_col, text_col, lang_col)
     return predict(docs, net, id_col, text_col).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.6, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents whose language is determined with at least that score; all columns stay, lang is as it was."""
+def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, languages: tuple[str, ...] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents whose predicted language has at least that score and, if given, is one of languages.
+
+    lang becomes the prediction, whatever it was; undetermined texts go. All other columns stay.
+    """
     net = fit(docs, id_col, text_col, lang_col)
 
-    @F.pandas_udf("boolean")
-    def sure(texts):
-        import pandas as pd
-
-        column = pa.array(texts, pa.string(), from_pandas=True)
-        data, offsets = byte_view(column)
-        total = np.zeros((len(texts), len(net.languages)))
-        for a, z in _ranges(offsets):
-            windows, owner = cut(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
-            np.add.at(total, owner + a, net.log_probabilities(windows) * (windows != 0).sum(axis=1)[:, None])
-        p = np.exp(_log_softmax(total / np.maximum(np.diff(offsets), 1)[:, None])).max(axis=1)
-        letters = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-        return pd.Series(letters & (p >= min_score))
-
-    return docs.filter(sure(F.col(f"`{text_col}`")))
+    @F.arrow_udf("struct<lang: string, score: double>")
+    def predicted(texts: pa.Array) -> pa.Array:
+        names, score = classify(texts, net)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
+
+    columns = [c for c in docs.columns]
+    mark = next(f"_predicted{k}" for k in range(len(columns) + 1) if f"_predicted{k}" not in columns)
+    seen = docs.withColumn(mark, predicted(F.col(f"`{text_col}`")))
+    kept = seen.filter((F.col(f"{mark}.score") >= min_score) & (F.col(f"{mark}.lang") != UNDETERMINED))
+    kept = kept.filter(F.col(f"{mark}.lang").isin(*languages)) if languages else kept
+    return kept.withColumn(lang_col, F.col(f"{mark}.lang")).select(*(F.col(f"`{c}`") for c in columns))

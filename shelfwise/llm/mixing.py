@@ -44,7 +44,7 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epoch
     return table.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, cells: int = CELLS) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, cells: int = CELLS, order: bool = False) -> DataFrame:
     """How many words of each document the mix takes, so that each source's words come within a document of its target.
 
     A document is taken whole: floor(target / source size) times, and once more for the documents whose words,
@@ -53,7 +53,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text: size 0, taken 0. Null source: a source of its own, last in order. Repeated rows count as many
     documents; equal rows are interchangeable. Empty input: empty result. Other columns are ignored.
-    Returns doc_id, source, size, source_size, weight, target, copies, taken.
+    Returns doc_id, source, size, source_size, weight, target, copies, taken; with order also whole (copies every document
+    of the source has), cell and draw (its place in the hash order).
     """
     rows = pick(docs, doc_id=id_col, text=text_col, source=source_col)
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
@@ -71,4 +72,25 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     start = F.col("cell_start") + F.coalesce(F.sum("size").over(within), F.lit(0))
     extra = (start + F.col("size") / 2 <= F.col("rest")).cast("long")
     copies = F.least(F.col("whole") + extra, F.lit(max_epochs)).cast("long")
-    return joined.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "weight", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    more = ["whole", "cell", "draw"] if order else []
+    return joined.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "weight", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *more)
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: all columns of the documents that it takes, and copies, how often each is taken (1 to max_epochs;
+    it replaces a column of that name).
+
+    A source's whole copies and the last document in its hash order that is taken once more are one row a source, which
+    meets the documents; texts are not shuffled. Rows with equal id and text are taken alike. Otherwise as mix_sources().
+    """
+    seed = options.get("seed", SEED)
+    cells = options.get("cells", CELLS)
+    draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    order = F.struct(F.pmod(draw, F.lit(cells)).cast("int").alias("cell"), draw.alias("draw"))
+    mixed = mix_sources(docs, id_col, text_col, source_col, order=True, **options)
+    plan = mixed.groupBy("source").agg(F.min("whole").alias("_whole"), F.max(F.when(F.col("copies") > F.col("whole"), F.struct("cell", "draw"))).alias("_last")).withColumnRenamed("source", "_source")
+    plan = stage(plan, "mix-plan")
+    keys = pick(docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "copies"))), doc_id=id_col, text=text_col, source=source_col, _row="_row")
+    joined = keys.join(plan, F.col("source").eqNullSafe(F.col("_source")))
+    copies = F.col("_whole") + F.coalesce((order <= F.col("_last")).cast("long"), F.lit(0))
+    return joined.select("_row.*", copies.alias("copies")).filter("copies > 0")

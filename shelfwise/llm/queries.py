@@ -10,12 +10,6 @@ from pyspark.sql import functions as F
 from shelfwise.llm import chat, decontaminate, html, jaccard, langid, media, mixing, passages, secrets, substrings
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,12 +35,25 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def _records(turns: DataFrame) -> DataFrame:
+    """Turns as JSON records in four of the layouts, dealt by hash: a corpus gathered from sources of different schemas."""
+    role, text = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit(""))
+    known = {"user": "human", "assistant": "gpt"}
+    plain = F.to_json(F.struct(role, text.alias("text")))
+    messages = F.to_json(F.struct(F.array(F.struct(role, text.alias("content"))).alias("messages")))
+    speaker = F.when(F.col("role") == "user", known["user"]).otherwise(known["assistant"])
+    shared = F.to_json(F.struct(F.array(F.struct(speaker.alias("from"), text.alias("value"))).alias("conversations")))
+    prompt = F.to_json(F.struct(text.alias("prompt")))
+    draw = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    record = F.when(draw == 1, messages).when((draw == 2) & F.col("role").isin(*known), shared).when((draw == 3) & (F.col("role") == "user"), prompt).otherwise(plain)
+    return turns.select("conv_id", "turn", record.alias("record"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
-    records = turns.unionByName(extra).select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("record"))
-    return chat.chat_digests(chat.format_chats(records, "conv_id", "turn", "record"))
+    return chat.chat_digests(chat.format_chats(_records(turns.unionByName(extra)), "conv_id", "turn", "record"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +61,8 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.secret_digests(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.secret_digests(secrets.scan_secrets(docs, model=secrets.fit(docs)))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +76,6 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "pipeline": pipeline,
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_media_columns": op3_media_columns,
@@ -104,7 +111,7 @@ ORACLES: dict[str, str] = {
     select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
       sha256(coalesce(string_agg(text, '' order by turn, text) filter (where role = 'assistant'), '')) as loss_sha256,
-      sum(12 + length(role) + 1 + escaped + 11)::bigint as formatted_chars from e group by 1""",
+      sum(12 + length(role) + 1 + escaped + 11)::bigint as formatted_chars, 0::bigint as n_unknown from e group by 1""",
     "op8_decontaminate": f"""with d as ({_shingles("documents", "doc_id", "lower(text)")}), i as ({_shingles("benchmark", "item_id", "lower(text)")}), q as (select item_id, count(*) as n_item from i group by 1),
     m as (select doc_id, item_id, count(*) as n_shared from d join i on d.g = i.g group by 1, 2)
     select doc_id, m.item_id, n_item, n_shared, n_shared / n_item as containment from m join q on m.item_id = q.item_id where n_shared >= ceil(n_item * 0.75 - 1e-9)""",

@@ -9,11 +9,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import pick
+from shelfwise.llm.common import SPACE_RUN, held_out, pick
 
 #: Kinds in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -22,9 +22,17 @@ ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCI
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-#: Candidates of the models: runs of key characters of at least this length that hold a digit.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
-DIGIT = re.compile(r"[0-9]")
+#: Candidates of the models: runs of key characters of at least this length. Shorter ones carry too little evidence.
+#: Plain numbers are none.
+CANDIDATE = re.compile(r"(?![0-9]+(?![A-Za-z0-9+/_-]))[A-Za-z0-9+/_-]{16,}")
+#: The training sample of ordinary words: of so many documents, so many words each.
+SAMPLE_DOCS = 2000
+SAMPLE_WORDS = 60
+#: Weight of a shorter context in the chains, in characters seen; share of labelled ordinary identifiers that may score
+#: above the threshold; and what is added to it, as masking a word does more harm than missing a short key.
+MIXING = 100
+FALSE_ALARMS = 0.001
+MARGIN = 0.4
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 INDEX = {c: i for i, c in enumerate(ALPHABET)}
@@ -47,50 +55,55 @@ track train transfer tree type union unit update upload user value vector vendor
 work worker world write year""".split()
 
 
-def labelled_samples(seed: int = 11, n: int = 6000) -> tuple[list[str], list[str]]:
-    """n random strings (hexadecimal, base 62, base 64) and n ordinary identifiers (words in the usual spellings)."""
+def labelled_samples(seed: int = 11, n: int = 16000, words: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
+    """n random strings (hexadecimal, letters, base 62, base 64) and as many ordinary identifiers: words in the usual
+    spellings and runs of words. With words of a corpus, half of the identifiers are made of those."""
     rng = random.Random(seed)
-    pools = ("0123456789abcdef", ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62])
-    positive = ["".join(rng.choices(rng.choice(pools), k=rng.randint(20, 64))) for _ in range(n)]
+    lower, upper, digits = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
+    pools = (digits + "abcdef", lower + upper + digits, ALPHABET[:64], upper + digits, lower + digits, lower + upper, lower, upper)
+    positive = ["".join(rng.choices(rng.choice(pools), k=rng.randint(16, 64))) for _ in range(n)]
     negative = []
-    for _ in range(n):
-        words = rng.choices(ORDINARY, k=rng.randint(2, 7))
+    for i in range(n):
+        some = rng.choices(words if words and i % 2 else ORDINARY, k=rng.randint(2, 7))
         style, number = rng.randrange(6), str(rng.choice((rng.randrange(10), rng.randrange(1000), rng.randint(1990, 2040), rng.randrange(10**6))))
-        word = "_".join(words) if style == 0 else "-".join(words) if style == 1 else "/".join(words) if style == 2 else "".join(w.title() for w in words) if style == 3 else "_".join(words).upper() if style == 4 else "".join(words)
+        word = "_".join(some) if style == 0 else "-".join(some) if style == 1 else "/".join(some) if style == 2 else "".join(w.title() for w in some) if style == 3 else "_".join(some).upper() if style == 4 else rng.choice(("".join(some), "".join(some).upper()))
         sep = rng.choice(("", "_", "-", "/"))
-        negative.append(rng.choice((word + sep + number, number + sep + word, word, word + sep + number + sep + rng.choice(ORDINARY))))
-    return positive, negative
+        negative.append(rng.choice((word + sep + number, number + sep + word, word, word, word + sep + number + sep + rng.choice(ORDINARY))))
+    return positive, [s for s in negative if len(s) >= 8]
+
+
+def _codes(s: str) -> np.ndarray:
+    codes = np.fromiter((INDEX.get(c, -1) for c in s), np.int64, len(s))
+    return codes[codes >= 0]
 
 
 def _markov(samples: list[str]) -> np.ndarray:
-    """Log-probabilities of a first-order chain with add-one smoothing; the last row is the start."""
-    counts = np.ones((len(ALPHABET) + 1, len(ALPHABET)))
+    """Log-probabilities of a character after the two before it, mixed with those of shorter contexts; the last code is the start."""
+    k = len(ALPHABET)
+    counts = np.zeros((k + 1, k + 1, k))
     for s in samples:
-        before = len(ALPHABET)
-        for c in s:
-            if c in INDEX:
-                counts[before, INDEX[c]] += 1
-                before = INDEX[c]
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+        c = np.concatenate(([k, k], _codes(s)))
+        np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
+    one = counts.sum(axis=(0, 1)) + 0.5
+    one /= one.sum()
+    pairs = counts.sum(axis=0)
+    two = (pairs + MIXING * one) / (pairs.sum(axis=1, keepdims=True) + MIXING)
+    three = (counts + MIXING * two[None]) / (counts.sum(axis=2, keepdims=True) + MIXING)
+    return np.log(three).astype(np.float32)
 
 
 class RandomnessModel:
-    """Log-likelihood ratio per character of the two chains, and the threshold that labelled samples ask for."""
+    """Log-likelihood ratio of the two second-order chains, and the threshold that labelled samples ask for."""
 
-    def __init__(self, positive: list[str], negative: list[str], false_alarms: float = 0.0):
-        half = len(positive) // 2, len(negative) // 2
-        self.ratio = _markov(positive[: half[0]]) - _markov(negative[: half[1]])
-        held = sorted(self.score(s) for s in negative[half[1] :])
-        at = held[min(len(held) - 1, int(len(held) * (1 - false_alarms)))] if held else 0.0
-        self.threshold = max(0.1, at + 0.1)
+    def __init__(self, positive: list[str], negative: list[str], false_alarms: float = FALSE_ALARMS):
+        self.ratio = _markov(positive[::2]) - _markov(negative[::2])
+        held = sorted(self.score(s) for s in negative[1::2] if CANDIDATE.fullmatch(s))
+        self.threshold = MARGIN + max(0.0, held[int((len(held) - 1) * (1 - false_alarms))] if held else 0.0)
 
     def score(self, s: str) -> float:
         """Mean log-likelihood ratio of a string's characters; positive: more like a random one."""
-        codes = np.fromiter((INDEX.get(c, -1) for c in s), np.int64, len(s))
-        codes = codes[codes >= 0]
-        if not len(codes):
-            return -np.inf
-        return float(self.ratio[np.concatenate(([len(ALPHABET)], codes[:-1])), codes].mean())
+        c = np.concatenate(([len(ALPHABET)] * 2, _codes(s)))
+        return float(self.ratio[c[:-2], c[1:-1], c[2:]].mean()) if len(c) > 2 else -np.inf
 
     def __call__(self, s: str) -> bool:
         return self.score(s) > self.threshold
@@ -101,6 +114,19 @@ def default_model() -> RandomnessModel:
     return RandomnessModel(*labelled_samples())
 
 
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> RandomnessModel:
+    """The model with words of the corpus among its ordinary identifiers: sample_words consecutive words of each of the
+    sample_docs documents that come first in hash order, none of them held out. Words that a pattern finds or that hold
+    a digit are left out. An empty corpus gives the default model."""
+    rows = pick(docs, doc_id=id_col, text=text_col).filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    words = F.split("text", SPACE_RUN)
+    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.size("words") - sample_words, F.lit(0)) + 1) + 1
+    chosen = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id").distinct().orderBy("h", "doc_id").limit(sample_docs)
+    got = rows.join(chosen.select("doc_id"), "doc_id", "left_semi").select("doc_id", words.alias("words")).select(F.slice("words", at.cast("int"), sample_words).alias("words")).collect()
+    plain = {p for r in got for w in r.words for p in re.findall(r"[A-Za-z]+", w) if 3 <= len(p) <= 40 and not re.search("[0-9]", w)}
+    return RandomnessModel(*labelled_samples(words=tuple(sorted(plain)))) if plain else default_model()
+
+
 def spans(text: str, model: RandomnessModel) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) in code points, sorted. Spans of the models leave the patterns' spans alone."""
     found = []
@@ -113,7 +139,7 @@ def spans(text: str, model: RandomnessModel) -> list[tuple[int, int, int]]:
     base = list(found)
     for a, b in runs:
         for m in CANDIDATE.finditer(text, a, b):
-            if DIGIT.search(m[0]) and not any(s < m.end() and m.start() < e for s, _, e in base) and model(m[0]):
+            if not any(s < m.end() and m.start() < e for s, _, e in base) and model(m[0]):
                 found.append((m.start(), 3, m.end()))
     return sorted(found)
 
@@ -123,19 +149,21 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Fixed patterns give assignments, access keys and hexadecimal strings, leftmost and non-overlapping within a
     kind. A run of key characters that no pattern touches is a secret where the chain of random strings explains it
-    better than that of ordinary identifiers, by more than any labelled ordinary identifier held out of training.
-    Null text: empty, no spans. Repeated rows give repeated rows; other columns are ignored; empty table: empty.
+    better than that of ordinary identifiers, by more than labelled ordinary identifiers held out of training.
+    Null text: empty, no spans. Repeated rows give repeated rows; ids of any value and null ids stay as they are; other
+    columns are ignored; empty table: empty. A text of any length is scanned as a whole.
     """
     model = model or default_model()
+    kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [spans(t, model) if isinstance(t, str) and t else [] for t in b.text]
-            yield pd.DataFrame({"doc_id": b.doc_id, "spans": [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in x] for x in found]})
+            found = [spans(t, model) if t else [] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in x] for x in found], kind_of)], ["doc_id", "spans"])
 
     rows = pick(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, spans array<struct<kind: string, start: bigint, end: bigint>>")
+    return rows.mapInArrow(run, f"doc_id {kind}, spans array<struct<kind: string, start: bigint, end: bigint>>")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", model: RandomnessModel | None = None) -> DataFrame:
@@ -157,9 +185,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
             at = end
         return "".join([*out, text[at:]])
 
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: clean(t) if isinstance(t, str) else None)
+    @F.arrow_udf("string")
+    def cleaned(texts: pa.Array) -> pa.Array:
+        return pa.array([t if t is None else clean(t) for t in texts.to_pylist()], pa.string())
 
     out = docs.withColumn(text_col, cleaned(F.col(f"`{text_col}`")))
     return out.withColumn("n_chars", F.length(F.col(f"`{text_col}`")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns and text_col != "n_chars" else out

@@ -233,9 +233,11 @@ def test_decontamination_equals_exact_containment(spark, corpus):
     docs, bench = frame(spark, rows), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     sets, qs = {i: shingles(t) for i, t in rows}, {k: shingles(t) for k, t in enumerate(items)}
     want = {(i, k): len(s & q) for i, s in sets.items() for k, q in qs.items() if q and len(s & q) >= 0.75 * len(q)}
-    for bound in (1_000_000, 0):
-        got = {(r.doc_id, r.item_id): r.n_shared for r in decontaminate.contaminated(docs, bench, broadcast_hashes=bound).collect()}
+    for threshold in ("10MB", "-1"):  # joins by broadcast and by shuffle
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        got = {(r.doc_id, r.item_id): r.n_shared for r in decontaminate.contaminated(docs, bench).collect()}
         assert got == want and (111, 1) in got and (110, 1) not in got
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     kept = {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()}
     assert kept == {i for i, _ in rows} - {i for i, _ in want}
 
