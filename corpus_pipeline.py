@@ -9,13 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfwise.llm import decontaminate, jaccard, langid, mixing, secrets
 from shelfwise.llm.common import stage
 
-#: Lowest score of a determined language; only texts without letters and near-even guesses fall below.
-MIN_LANGUAGE_SCORE = 0.3
-
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; all columns of documents stay."""
-    return langid.keep_identified(docs, MIN_LANGUAGE_SCORE)
+    """Documents whose language can be told, with lang as it was told; texts without letters and unsure guesses go."""
+    return langid.keep_identified(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +27,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets masked."""
-    return secrets.redact(docs)
+    return secrets.redact(docs, model=secrets.fit(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often each document is taken so that its source meets its target."""
-    return mixing.mix_sources(docs)
+    """The documents that the mix takes, and how often (copies), so that each source meets its target."""
+    return mixing.mixed_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
