@@ -348,6 +348,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lead = F.struct((F.col("n") - F.col("s")).alias("own"), "n", "class", "s")
     head = prefixes.groupBy("token").agg(F.min(lead).alias("head"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("head.class").alias("b"), F.col("head.n").alias("n2"), F.col("head.s").alias("s2"))
     led = prefixes.join(head, "token").filter((F.col("class") != F.col("b")) & F.expr(_can_link("n", "s", "n2", "s2"))).groupBy(F.col("class").alias("a"), "b").count()
+    led = stage(led, "jaccard-led")
     best = led.groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     first = stage(best, "jaccard-star")
 
