@@ -7,14 +7,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.functions.measures import price_ratio, sizes_match
+from shelfwise.functions.measures import sizes_match
 
 # What a block, a score and a verdict need.
 MOST_COMMON = 400
 RAREST = 2
 LEAST_SCORE = 0.45
 TOP = 5
-EXACT, CROSS_SIZE, FUZZY = 0.7, 0.7, 0.45
+EXACT, FUZZY = 0.7, 0.45
+PRICE_GUARD = 0.4
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -69,12 +70,25 @@ def candidate_pairs(items: DataFrame, item: str = "id", store: str = "store", to
     return kept.select("a", "b", "store_a", "store_b", "score", block.alias("block"))
 
 
-def classify(score: Column, gtin_a: Column, gtin_b: Column, brand_a: Column, brand_b: Column, size_a: Column, unit_a: Column, size_b: Column, unit_b: Column, price_a: Column, price_b: Column, qualifier: Column) -> Column:
-    """struct<rung, veto>: ean, exact, cross-size, fuzzy or reject, the first that fits, and what speaks against it."""
-    same_gtin, other_gtin = F.coalesce(gtin_a == gtin_b, F.lit(False)), F.coalesce(gtin_a != gtin_b, F.lit(False))
-    brands, sizes = F.coalesce(brand_a == brand_b, F.lit(False)), sizes_match(size_a, unit_a, size_b, unit_b)
-    veto = F.when(qualifier.isNotNull(), F.concat(F.lit("qualifier:"), qualifier)).when(other_gtin, "other-barcode").when(F.coalesce(price_ratio(price_a, price_b) > 3, F.lit(False)), "price")
-    rung = F.when(same_gtin, "ean").when(brands & sizes & (score >= EXACT), "exact").when(brands & ~sizes & (score >= CROSS_SIZE), "cross-size").when(score >= FUZZY, "fuzzy").otherwise("reject")
+def classify(score: Column, gtin_a: Column, gtin_b: Column, brand_a: Column, brand_b: Column, size_a: Column, unit_a: Column, size_b: Column, unit_b: Column, price_a: Column, price_b: Column, qualifier: Column, own_a: Column | None = None, own_b: Column | None = None) -> Column:
+    """struct<rung, veto>: ean, exact, cross-size, fuzzy or reject, the first that fits, and whether something speaks against it.
+
+    Numbers that differ at one size, or at sizes unknown, reject, but not between two stores' own brands, whose numbers
+    always differ. price_a and price_b are unit prices: more than PRICE_GUARD of the dearer apart is a veto on any rung
+    but reject. A qualifier that only one of two otherwise exact names has makes the pair fuzzy.
+    """
+    no = F.lit(False)
+    same_gtin, other_gtin = F.coalesce(gtin_a == gtin_b, no), F.coalesce(gtin_a != gtin_b, no)
+    known = size_a.isNotNull() & size_b.isNotNull()
+    same_size = known & sizes_match(size_a, unit_a, size_b, unit_b)
+    both_own = F.coalesce(own_a & own_b, no) if own_a is not None and own_b is not None else no
+    high = F.greatest(price_a, price_b)
+    gap = F.when(price_a.isNotNull() & price_b.isNotNull(), F.when(high > 0, (high - F.least(price_a, price_b)) / high).otherwise(0.0))
+    dear = F.coalesce(gap > PRICE_GUARD, no)
+    alike = F.coalesce(brand_a == brand_b, no) & F.coalesce(brand_a != "", no) & same_size & (score >= EXACT)
+    clash = other_gtin & ~both_own & ~(known & ~same_size)
+    rung = F.when(clash, "reject").when(same_gtin, "ean").when(alike & qualifier.isNotNull(), "fuzzy").when(alike, "exact").when((score >= FUZZY) & known & ~same_size, "cross-size").when(score >= FUZZY, "fuzzy").otherwise("reject")
+    veto = F.when(clash, "other-barcode").when((rung != "reject") & dear, "price")
     return F.struct(rung.alias("rung"), veto.alias("veto"))
 
 
