@@ -50,21 +50,23 @@ def candidate_pairs(items: DataFrame, item: str = "id", store: str = "store", to
     of at least that score stay, ties by id; pairs with equal numbers always stay. Ids are in order (a < b).
     Returns a, b, store_a, store_b, score, block.
     """
-    keys = blocking_keys(items, item, store, tokens).select(item, store, F.concat(F.lit("t:"), "token").alias("key"), F.lit(2).alias("prio"))
-    brands = items.filter(F.col(brand).isNotNull() & (F.col(brand) != "")).select(item, store, F.concat(F.lit("b:"), brand).alias("key"), F.lit(1).alias("prio"))
-    blocks = keys.unionByName(brands)
+    have = F.array_distinct(F.col(tokens)).alias("tokens")
+    rare = blocking_keys(items, item, store, tokens).select(F.col(item).alias("_id"), F.concat(F.lit("t:"), "token").alias("key"), F.lit(2).alias("prio"))
+    blocks = items.join(rare, F.col(item) == F.col("_id")).select(item, store, have, "key", "prio")
+    named = lambda c, mark, prio: items.filter(F.col(c).isNotNull() & (F.col(c).cast("string") != "")).select(item, store, have, F.concat(F.lit(mark), F.col(c).cast("string")).alias("key"), F.lit(prio).alias("prio"))
+    blocks = blocks.unionByName(named(brand, "b:", 1))
     if gtin:
-        blocks = blocks.unionByName(items.filter(F.col(gtin).isNotNull()).select(item, store, F.concat(F.lit("g:"), gtin).alias("key"), F.lit(0).alias("prio")))
+        blocks = blocks.unionByName(named(gtin, "g:", 0))
     a, b = blocks.alias("a"), blocks.alias("b")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col(f"a.{item}") < F.col(f"b.{item}")) & (F.col(f"a.{store}") != F.col(f"b.{store}")))
-    pairs = met.groupBy(F.col(f"a.{item}").alias("a"), F.col(f"b.{item}").alias("b")).agg(F.min("a.prio").alias("prio"))
-    side = lambda s: items.select(F.col(item).alias(s), F.col(store).alias(f"store_{s}"), F.col(tokens).alias(f"tokens_{s}"))
-    both = F.size(F.array_union("tokens_a", "tokens_b"))
-    score = F.when((F.size("tokens_a") == 0) | (F.size("tokens_b") == 0), 0.0).otherwise(F.size(F.array_intersect("tokens_a", "tokens_b")) / both)
-    scored = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("score", score)
+    # scored where they meet, so that only pairs of a sufficient score are shuffled; a large block is split by adaptive execution
+    shared = F.size(F.array_intersect("a.tokens", "b.tokens"))
+    score = F.when(shared == 0, 0.0).otherwise(shared / (F.size("a.tokens") + F.size("b.tokens") - shared))
+    met = met.select(F.col(f"a.{item}").alias("a"), F.col(f"b.{item}").alias("b"), F.col(f"a.{store}").alias("store_a"), F.col(f"b.{store}").alias("store_b"), score.alias("score"), F.col("a.prio").alias("prio"))
+    scored = met.filter((F.col("score") >= least) | (F.col("prio") == 0)).groupBy("a", "b").agg(*(F.min(c).alias(c) for c in ("store_a", "store_b", "score", "prio")))
     by_a = F.row_number().over(Window.partitionBy("a", "store_b").orderBy(F.col("score").desc(), "b"))
     by_b = F.row_number().over(Window.partitionBy("b", "store_a").orderBy(F.col("score").desc(), "a"))
-    kept = scored.filter((F.col("score") >= least) | (F.col("prio") == 0)).withColumn("_ra", by_a).withColumn("_rb", by_b)
+    kept = scored.withColumn("_ra", by_a).withColumn("_rb", by_b)
     kept = kept.filter((F.col("_ra") <= top) | (F.col("_rb") <= top) | (F.col("prio") == 0))
     block = F.when(F.col("prio") == 0, "gtin").when(F.col("prio") == 1, "brand").otherwise("token")
     return kept.select("a", "b", "store_a", "store_b", "score", block.alias("block"))
@@ -118,20 +120,31 @@ def components(links: DataFrame, members: DataFrame | None = None, a: str = "a",
             return labels
 
 
-def guards(members: DataFrame, links: DataFrame, refused: DataFrame, stores: int, tolerance: float = 0.05) -> DataFrame:
-    """Flags of each component: duplicate-store, oversized, size-spread, weak-links-only, barcode-unconfirmed, refused-pair.
+def guards(members: DataFrame, links: DataFrame, refused: DataFrame, factor: int = 2, tolerance: float = 0.05) -> DataFrame:
+    """Flags of each component, and whether it may be shown (emit: neither oversized, size-spread nor refused-pair).
 
-    members: id, component, store, size, unit, gtin. links: a, b, rung. refused: a, b.
+    duplicate-store: a store has several members that are not all known to be one product (one number, none missing).
+    barcode-unconfirmed: numbers differ, or one that is expected is missing. weak-links-only: not every link is strong,
+    or there is none. oversized: more than factor members a store. size-spread: unequal units or extremes too far apart.
+    members: id, component, store, size, unit, gtin and, where known, expected (whether a number is expected). links: a,
+    b, rung. refused: a, b. All figures are partial aggregates, so a component of any size is no single task's work.
     """
+    expected = F.coalesce(F.col("expected"), F.lit(False)) if "expected" in members.columns else F.lit(False)
     inside = links.join(members.select(F.col("id").alias("a"), "component"), "a")
-    rungs = inside.groupBy("component").agg(F.count_if(F.col("rung").isin("ean", "exact")).alias("strong"), F.count_if(F.col("rung") == "ean").alias("coded"))
+    rungs = inside.groupBy("component").agg(F.count_if(~F.col("rung").isin("ean", "exact")).alias("weak"), F.count("*").alias("n_links"))
     side = members.select("id", "component")
     bad = refused.join(side.select(F.col("id").alias("a"), "component"), "a").join(side.select(F.col("id").alias("b"), F.col("component").alias("other")), "b").filter("component = other").groupBy("component").agg(F.count("*").alias("refused"))
-    stats = members.groupBy("component").agg(F.count("*").alias("n"), F.countDistinct("store").alias("n_stores"), F.max("size").alias("hi"), F.min("size").alias("lo"), F.countDistinct("unit").alias("units"), F.countDistinct("gtin").alias("codes"))
-    stats = stats.join(rungs, "component", "left").join(bad, "component", "left")
+    in_store = members.groupBy("component", "store").agg(F.count("*").alias("n"), F.count("gtin").alias("coded"), F.min("gtin").alias("low"), F.max("gtin").alias("high"))
+    twice = (F.col("n") > 1) & ((F.col("coded") < F.col("n")) | (F.col("low") != F.col("high")))
+    by_store = in_store.groupBy("component").agg(F.sum("n").alias("n"), F.count("*").alias("n_stores"), F.max(twice).alias("twice"))
+    spread = members.groupBy("component").agg(F.max("size").alias("hi"), F.min("size").alias("lo"), F.min("unit").alias("u1"), F.max("unit").alias("u2"), F.min("gtin").alias("g1"), F.max("gtin").alias("g2"), F.max(expected & F.col("gtin").isNull()).alias("missing"))
+    stats = by_store.join(spread, "component").join(rungs, "component", "left").join(bad, "component", "left")
     flag = lambda c, name: F.when(F.coalesce(c, F.lit(False)), name)
-    flags = F.array_compact(F.array(flag(F.col("n") > F.col("n_stores"), "duplicate-store"), flag(F.col("n") > 2 * stores, "oversized"), flag((F.col("units") > 1) | ((F.col("hi") - F.col("lo")) / F.col("hi") > tolerance), "size-spread"), flag(F.coalesce("strong", F.lit(0)) == 0, "weak-links-only"), flag(F.col("codes") > 1, "barcode-unconfirmed"), flag(F.col("refused") > 0, "refused-pair")))
-    return stats.select("component", "n", "n_stores", flags.alias("flags"))
+    strong = F.coalesce((F.col("n_links") > 0) & (F.col("weak") == 0), F.lit(False))
+    wide = (F.col("u1") != F.col("u2")) | ((F.col("hi") - F.col("lo")) / F.col("hi") > tolerance)
+    flags = F.array_compact(F.array(flag(F.col("twice"), "duplicate-store"), flag((F.col("g1") != F.col("g2")) | F.col("missing"), "barcode-unconfirmed"), flag(~strong, "weak-links-only"), flag(F.col("n") > factor * F.col("n_stores"), "oversized"), flag(wide, "size-spread"), flag(F.col("refused") > 0, "refused-pair")))
+    emit = ~F.arrays_overlap("flags", F.array(*(F.lit(x) for x in ("oversized", "size-spread", "refused-pair"))))
+    return stats.select("component", "n", "n_stores", flags.alias("flags")).withColumn("emit", emit)
 
 
 def barcode_core(members: DataFrame) -> DataFrame:

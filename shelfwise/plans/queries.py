@@ -331,71 +331,85 @@ def parsed_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("p_partkey", "p_size", "s.total", "s.unit", "s.pack_count")
 
 
-ITEMS = f"""{PRODUCTS}, items as (select product_id as id, product_id % 5 as store, brand, size, unit, list_distinct(list_append(string_split(lower(name), ' '), lower(kind))) as tokens from products)"""
+ITEMS = f"""{PRODUCTS}, items as (select product_id as id, product_id % 5 as store, brand, size, unit, own_brand, lower(name) as name, case when product_id % 3 <> 0 then product_id // 6 end as gtin, case when product_id % 7 <> 0 and size > 0 then p_retailprice * (1 + product_id % 4) / size end as unit_price, list_distinct(list_append(string_split(lower(name), ' '), lower(kind))) as tokens from products join part on p_partkey = product_id)"""
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
-    p = products(spark, sf)
-    return p.select(F.col("product_id").alias("id"), (F.col("product_id") % 5).alias("store"), "brand", "size", "unit", F.array_distinct(F.concat(F.split(F.lower("name"), " "), F.array(F.lower("kind")))).alias("tokens"))
+    """Products as items of five stores, with trade item numbers (six neighbours share one) and unit prices, both unknown for some."""
+    p = products(spark, sf).join(table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), "p_retailprice"), "product_id")
+    key = F.col("product_id")
+    gtin = F.when(key % 3 != 0, F.floor(key / 6))
+    price = F.when((key % 7 != 0) & (F.col("size") > 0), F.col("p_retailprice") * (1 + key % 4) / F.col("size"))
+    tokens = F.array_distinct(F.concat(F.split(F.lower("name"), " "), F.array(F.lower("kind"))))
+    return p.select(key.alias("id"), (key % 5).alias("store"), "brand", "size", "unit", "own_brand", F.lower("name").alias("name"), gtin.alias("gtin"), price.alias("unit_price"), tokens.alias("tokens"))
 
 
 PAIRS = f"""{ITEMS}, x as (select id, store, unnest(tokens) as token from items), df as (select store, token, count(*) as df from x group by 1, 2),
 keys as (select id, store, 't:' || token as key, 2 as prio from (select x.id, x.store, x.token, df, row_number() over (partition by x.id order by df, x.token) as rank from x join df on x.store = df.store and x.token = df.token) where rank = 1 or (rank <= 2 and df <= 400)
-  union all select id, store, 'b:' || brand, 1 from items where brand <> ''),
+  union all select id, store, 'b:' || brand, 1 from items where brand <> '' union all select id, store, 'g:' || gtin, 0 from items where gtin is not null),
 met as (select a.id as a, b.id as b, min(a.prio) as prio from keys a join keys b on a.key = b.key and a.id < b.id and a.store <> b.store group by 1, 2),
 scored as (select m.*, i.store as store_a, j.store as store_b, len(list_intersect(i.tokens, j.tokens)) / len(list_distinct(list_concat(i.tokens, j.tokens))) as score from met m join items i on m.a = i.id join items j on m.b = j.id),
-kept as (select *, row_number() over (partition by a, store_b order by score desc, b) as ra, row_number() over (partition by b, store_a order by score desc, a) as rb from scored where score >= 0.45),
-pairs as (select a, b, store_a, store_b, score, case prio when 1 then 'brand' else 'token' end as block from kept where ra <= 5 or rb <= 5)"""
+kept as (select *, row_number() over (partition by a, store_b order by score desc, b) as ra, row_number() over (partition by b, store_a order by score desc, a) as rb from scored where score >= 0.45 or prio = 0),
+pairs as (select a, b, store_a, store_b, score, case prio when 0 then 'gtin' when 1 then 'brand' else 'token' end as block from kept where ra <= 5 or rb <= 5 or prio = 0)"""
 
 
 @query(f"with {PAIRS} select a, b, store_a, store_b, score, block from pairs")
 def candidate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Blocked and scored candidate pairs."""
-    return resolve.candidate_pairs(_items(spark, sf))
+    return resolve.candidate_pairs(_items(spark, sf), gtin="gtin")
+
 
+LADDER = f"""{PAIRS}, sides as (select p.*, i.gtin as ga, j.gtin as gb, i.own_brand and j.own_brand as own, i.brand = j.brand as same_brand, i.size is not null and j.size is not null as known,
+    coalesce(i.unit = j.unit and greatest(i.size, j.size) > 0 and i.size is not null and j.size is not null and (greatest(i.size, j.size) - least(i.size, j.size)) / greatest(i.size, j.size) <= 0.05, false) as same_size,
+    case when i.unit_price is not null and j.unit_price is not null then (greatest(i.unit_price, j.unit_price) - least(i.unit_price, j.unit_price)) / greatest(i.unit_price, j.unit_price) end as gap,
+    contains(i.name, 'plated') <> contains(j.name, 'plated') or contains(i.name, 'polished') <> contains(j.name, 'polished') as qualified from pairs p join items i on p.a = i.id join items j on p.b = j.id),
+ladder as (select a, b, case when ga is not null and gb is not null and ga <> gb and not own and not (known and not same_size) then 'reject' when ga = gb then 'ean' when same_brand and same_size and score >= 0.7 then case when qualified then 'fuzzy' else 'exact' end when score >= 0.45 and known and not same_size then 'cross-size' when score >= 0.45 then 'fuzzy' else 'reject' end as rung, coalesce(gap > 0.4, false) as dear from sides)"""
 
-LADDER = f"""{PAIRS}, sides as (select p.*, i.brand = j.brand as same_brand, coalesce(i.unit = j.unit and greatest(i.size, j.size) > 0 and (greatest(i.size, j.size) - least(i.size, j.size)) / greatest(i.size, j.size) <= 0.05, false) as same_size from pairs p join items i on p.a = i.id join items j on p.b = j.id),
-ladder as (select a, b, case when same_brand and same_size and score >= 0.7 then 'exact' when same_brand and not same_size and score >= 0.7 then 'cross-size' when score >= 0.45 then 'fuzzy' else 'reject' end as rung from sides)"""
+QUALIFIERS = [("plated", "plated"), ("polished", "polished")]
 
 
 def _ladder(spark: SparkSession, sf: str) -> DataFrame:
     items = _items(spark, sf)
-    side = lambda s: items.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("brand", "size", "unit")))
-    pairs = resolve.candidate_pairs(items).join(side("a"), "a").join(side("b"), "b")
-    none = F.lit(None)
-    c = resolve.classify(F.col("score"), none.cast("string"), none.cast("string"), F.col("brand_a"), F.col("brand_b"), F.col("size_a"), F.col("unit_a"), F.col("size_b"), F.col("unit_b"), none.cast("double"), none.cast("double"), none.cast("string"))
+    side = lambda s: items.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("gtin", "brand", "size", "unit", "unit_price", "own_brand", "name")))
+    pairs = resolve.candidate_pairs(items, gtin="gtin").join(side("a"), "a").join(side("b"), "b")
+    both = [F.col(f"{c}_{s}") for c in ("gtin", "brand") for s in "ab"] + [F.col(f"{c}_{s}") for s in "ab" for c in ("size", "unit")] + [F.col(f"unit_price_{s}") for s in "ab"]
+    c = resolve.classify(F.col("score"), *both, text.qualifier_mismatch(F.col("name_a"), F.col("name_b"), QUALIFIERS), F.col("own_brand_a"), F.col("own_brand_b"))
     return pairs.withColumn("c", c).select("a", "b", "c.rung", "c.veto")
 
 
-@query(f"with {LADDER} select a, b, rung, case rung when 'exact' then 'CONFIRMED' when 'reject' then 'REJECTED' else 'REVIEW' end as verdict from ladder")
+@query(f"with {LADDER} select a, b, rung, case when rung = 'reject' then 'REJECTED' when rung in ('ean', 'exact') and not dear then 'CONFIRMED' else 'REVIEW' end as verdict from ladder")
 def pair_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    """Rung of the ladder and verdict of every pair."""
+    """Rung of the ladder and verdict of every pair, with numbers, unit prices, qualifiers and own brands."""
     return _ladder(spark, sf).select("a", "b", "rung", resolve.verdict(F.col("rung"), F.col("veto")).alias("verdict"))
 
 
-@query(f"""with recursive {LADDER}, links as (select a, b from ladder where rung = 'exact' union select b, a from ladder where rung = 'exact'),
-  reach as (select a as id, a as other from links union select reach.id, links.b from reach join links on reach.other = links.a)
-  select id, min(other) as component from reach group by 1""")
-def product_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Connected components of confirmed pairs."""
-    return resolve.components(_ladder(spark, sf).filter("rung = 'exact'").select("a", "b"))
+REACH = f"""{LADDER}, strong as (select a, b from ladder where rung in ('ean', 'exact') and not dear), links as (select a, b from strong union select b, a from strong),
+  reach as (select a as id, a as other from links union select reach.id, links.b from reach join links on reach.other = links.a)"""
 
 
-def _members(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    links = _ladder(spark, sf).filter("rung in ('exact', 'cross-size')").select("a", "b", "rung")
-    members = resolve.components(links.filter("rung = 'exact'")).join(_items(spark, sf).withColumn("gtin", F.col("brand")), "id")
-    return members, links
+@query(f"""with recursive {REACH} select id, min(other) as component from reach group by 1""")
+def product_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Connected components of confirmed pairs."""
+    return resolve.components(_ladder(spark, sf).filter("rung in ('ean', 'exact') and veto is null").select("a", "b"))
 
 
-@query(f"""with recursive {LADDER}, links as (select a, b from ladder where rung = 'exact' union select b, a from ladder where rung = 'exact'),
-  reach as (select a as id, a as other from links union select reach.id, links.b from reach join links on reach.other = links.a),
-  members as (select r.id, component, store, size, unit, brand from (select id, min(other) as component from reach group by 1) r join items using (id)),
-  stats as (select component, count(*) as n, count(distinct store) as n_stores, max(size) as hi, min(size) as lo, count(distinct unit) as units, count(distinct brand) as codes from members group by 1)
-  select component, n, n_stores, list_filter([case when n > n_stores then 'duplicate-store' end, case when n > 10 then 'oversized' end, case when units > 1 or (hi - lo) / hi > 0.05 then 'size-spread' end, case when codes > 1 then 'barcode-unconfirmed' end], lambda x: x is not null) as flags from stats""")
+@query(f"""with recursive {REACH}, members as (select r.id, component, store, size, unit, gtin, r.id % 2 = 0 as expected from (select id, min(other) as component from reach group by 1) r join items using (id)),
+  inside as (select component, count(*) as n_links, count(*) filter (where rung not in ('ean', 'exact')) as weak from ladder join members on a = members.id where rung in ('ean', 'exact', 'cross-size') and b in (select id from members m where m.component = members.component) group by 1),
+  refused as (select distinct m.component from members m join members o on o.id = m.id + 1 and o.component = m.component where m.id % 50 = 0),
+  twice as (select distinct component from (select component, store from members group by 1, 2 having count(*) > 1 and (count(gtin) < count(*) or count(distinct gtin) > 1))),
+  stats as (select component, count(*) as n, count(distinct store) as n_stores, max(size) as hi, min(size) as lo, count(distinct unit) as units, count(distinct gtin) as codes, bool_or(expected and gtin is null) as missing from members group by 1),
+  flagged as (select component, n, n_stores, list_filter([case when component in (select component from twice) then 'duplicate-store' end, case when codes > 1 or missing then 'barcode-unconfirmed' end, case when coalesce(weak, 1) > 0 then 'weak-links-only' end, case when n > 2 * n_stores then 'oversized' end, case when units > 1 or (hi - lo) / hi > 0.05 then 'size-spread' end, case when component in (select component from refused) then 'refused-pair' end], lambda x: x is not null) as flags from stats left join inside using (component))
+  select *, len(list_intersect(flags, ['oversized', 'size-spread', 'refused-pair'])) = 0 as emit from flagged""")
 def group_guards(spark: SparkSession, sf: str) -> DataFrame:
-    """What speaks against each group (the brand stands for the barcode)."""
-    members, links = _members(spark, sf)
-    return resolve.guards(members, links, links.filter("false").select("a", "b"), 5)
+    """What speaks against each group, refused pairs among it, and whether it is shown."""
+    links = _ladder(spark, sf).filter("rung in ('ean', 'exact', 'cross-size')")
+    items = _items(spark, sf).withColumn("expected", F.col("id") % 2 == 0)
+    found = resolve.components(links.filter("rung <> 'cross-size' and veto is null").select("a", "b"))
+    members = found.join(items, "id")
+    other = found.select(F.col("id").alias("b"), F.col("component").alias("same"))
+    inside = links.select("a", "b", "rung").join(found.withColumnRenamed("id", "a"), "a").join(other, "b").filter("component = same").select("a", "b", "rung")
+    refused = items.filter("id % 50 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    return resolve.guards(members, inside, refused)
 
 
 @query()

@@ -104,7 +104,7 @@ def test_guards_and_core(spark):
     members = spark.createDataFrame([(1, 1, "a", 1.0, "kg", "x"), (2, 1, "b", 1.04, "kg", "x"), (3, 1, "c", 1.09, "kg", "y")], "id long, component long, store string, size double, unit string, gtin string")
     links = spark.createDataFrame([(1, 2, "ean"), (2, 3, "fuzzy")], "a long, b long, rung string")
     refused = spark.createDataFrame([(1, 3)], "a long, b long")
-    assert resolve.guards(members, links, refused, 3).head().flags == ["size-spread", "barcode-unconfirmed", "refused-pair"]
+    assert resolve.guards(members, links, refused).head().flags == ["barcode-unconfirmed", "weak-links-only", "size-spread", "refused-pair"]
     assert rows(resolve.barcode_core(members).select("id")) == [(1,), (2,)]
 
 
