@@ -26,10 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends, and lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     gc.collect()
     df.sparkSession._jvm.System.gc()  # lets Spark delete the shuffle files of the finished step
     out = df.sparkSession.read.schema(df.schema).parquet(path)

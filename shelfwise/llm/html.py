@@ -238,7 +238,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             row += len(b)
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    made = stage(rows.mapInArrow(read, f"row bigint, page_id {kind}, url string, host string, v1 bigint, v2 bigint, subtrees array<struct<subtree: bigint, prose: boolean>>, blocks array<struct<text: string, subtrees: array<bigint>>>"), "html-blocks")
+    made = stage(rows.mapInArrow(read, f"row bigint, page_id {kind}, url string, host string, v1 bigint, v2 bigint, subtrees array<struct<subtree: bigint, prose: boolean>>, blocks array<struct<text: string, subtrees: array<bigint>>>"), "html-blocks", "zstd")
     template = stage(site_templates(made, min_pages, min_share, prose_share), "html-template")
     listed = made.select("row", "host", F.explode("subtrees.subtree").alias("subtree")).join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("template"))
     able = F.size("subtrees") > 0  # other pages cannot lose a block and need no join

@@ -147,7 +147,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     chosen = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))).filter(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
     length = F.length("text")
     crop = lambda k: F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(length - WINDOW, F.lit(0)) + 1) + 1).cast("int"), F.lit(WINDOW))
-    got = rows.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", F.explode(F.array(*(crop(k) for k in range(crops)))).alias("crop")).distinct().orderBy("lang", "crop").collect()
+    got = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # at most languages * per_language ids
+    got = got.select("lang", F.explode(F.array(*(crop(k) for k in range(crops)))).alias("crop")).distinct().orderBy("lang", "crop").collect()
     return train([(r.lang, r.crop) for r in got])
 
 
