@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,3 +82,9 @@ def chunks(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
         out.append((first, last))
         first = last
     return out
+
+
+def sliced(column: pa.Array, most: int = 512) -> Iterator[pa.Array]:
+    """A column in slices of few texts, so that what is made of each is all that a task holds beside the batch."""
+    for a in range(0, len(column), most):
+        yield column.slice(a, most)

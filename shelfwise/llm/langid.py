@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import byte_view, chunks, held_out, pick
+from shelfwise.llm.common import byte_view, chunks, held_out, pick, sliced
 
 UNDETERMINED = "und"
 WINDOW = 256
@@ -154,17 +154,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def classify(texts: pa.Array, net: ByteConvNet) -> tuple[list[str], np.ndarray]:
     """Language and score of every whole text: log-probabilities of its windows, weighted by their bytes, averaged."""
-    letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-    data, offsets = byte_view(texts)
-    total = np.zeros((len(texts), len(net.languages)))
-    for a, z in chunks(offsets, 4 << 20):
-        windows, owner = cut(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
-        held = (windows != 0).sum(axis=1)
-        np.add.at(total, owner + a, net.log_probabilities(windows) * held[:, None])
-    p = np.exp(_log_softmax(total / np.maximum(np.diff(offsets), 1)[:, None]))
-    best = p.argmax(axis=1)
-    names = [net.languages[k] if x else UNDETERMINED for k, x in zip(best, letters, strict=True)]
-    return names, np.where(letters, np.clip(p[np.arange(len(texts)), best], 0, 1), 0.0)
+    names: list[str] = []
+    scores = [np.zeros(0)]
+    for part in sliced(texts):
+        letters = pc.fill_null(pc.match_substring_regex(part, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+        data, offsets = byte_view(part)
+        total = np.zeros((len(part), len(net.languages)))
+        for a, z in chunks(offsets, 1 << 20):
+            windows, owner = cut(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a])
+            held = (windows != 0).sum(axis=1)
+            np.add.at(total, owner + a, net.log_probabilities(windows) * held[:, None])
+        p = np.exp(_log_softmax(total / np.maximum(np.diff(offsets), 1)[:, None]))
+        best = p.argmax(axis=1)
+        names += [net.languages[k] if x else UNDETERMINED for k, x in zip(best, letters, strict=True)]
+        scores.append(np.where(letters, np.clip(p[np.arange(len(part)), best], 0, 1), 0.0))
+    return names, np.concatenate(scores)
 
 
 def predict(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

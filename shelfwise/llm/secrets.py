@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import SPACE_RUN, held_out, pick
+from shelfwise.llm.common import SPACE_RUN, held_out, pick, sliced
 
 #: Kinds in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -158,7 +158,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [spans(t, model) if t else [] for t in b.column(1).to_pylist()]
+            found = [spans(t, model) if t else [] for part in sliced(b.column(1)) for t in part.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in x] for x in found], kind_of)], ["doc_id", "spans"])
 
     rows = pick(docs, doc_id=id_col, text=text_col)
@@ -187,7 +187,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
 
     @F.arrow_udf("string")
     def cleaned(texts: pa.Array) -> pa.Array:
-        return pa.array([t if t is None else clean(t) for t in texts.to_pylist()], pa.string())
+        parts = [pa.array([t if t is None else clean(t) for t in part.to_pylist()], pa.string()) for part in sliced(texts)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     out = docs.withColumn(text_col, cleaned(F.col(f"`{text_col}`")))
     return out.withColumn("n_chars", F.length(F.col(f"`{text_col}`")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns and text_col != "n_chars" else out
