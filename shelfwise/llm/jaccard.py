@@ -23,7 +23,7 @@ VERIFY = 8.0
 #: Share of the hash range whose tokens are counted over all texts to rule out sets that cannot link to any other. Results
 #: do not depend on it: more of the range costs counting, less of it leaves more sets for the join.
 COUNTED = 0.33
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Sets and tokens of a block in which members of a family are compared.
 BLOCK, BLOCK_TOKENS = 256, 500_000
 
@@ -67,7 +67,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     last[:-1] = inner[:-1] & (~inner[1:] | first[1:])
     last[-1] = inner[-1]
     start, end = np.flatnonzero(first), np.flatnonzero(last)
-    up, down = _powers(1 << max(22, int(len(data) - 1).bit_length()))
+    up, down = _powers(1 << max(20, int(len(data) - 1).bit_length()))
     with np.errstate(over="ignore"):
         total = np.cumsum(BYTE[data] * up[: len(data)])
         before = np.where(start > 0, total[start - 1], 0).astype(np.uint64)
