@@ -185,7 +185,7 @@ def price_periods(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""with {PERIODS}, held as (
     select store, product_id, price_cents, available, first_seen as "from", lead(first_seen) over w is null as is_last, coalesce(lead(first_seen) over w, last_seen) as until
-    from periods where product_id <= 40 window w as (partition by store, product_id order by first_seen, period)
+    from periods window w as (partition by store, product_id order by first_seen, period)
   ), open as (select h.*, kind from held h join (select p_partkey, p_type as kind from part) on product_id = p_partkey where available and price_cents is not null),
   days as (select distinct kind, "from" as day from open)
   select kind, day, store, b[1] as price_cents, b[2] as product_id from (
@@ -304,7 +304,7 @@ def trade_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("c_custkey", g.alias("gtin"), codes.check_digit_ok(g).alias("valid"), codes.matchable_gtin(F.col("raw")).alias("matchable"))
 
 
-TOKENS = r"""t as (select doc_id, source, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(strip_accents(text[1:200])), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda x: len(x) > 1)) as tokens from documents)"""
+TOKENS = r"""t as (select doc_id, source, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda x: len(x) > 1)) as tokens from documents)"""
 
 
 @query(rf"with {TOKENS} select doc_id, len(tokens)::int as n_tokens, array_to_string(list_sort(tokens), ' ') as tokens from t")
@@ -321,8 +321,8 @@ def folded_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", text.normalize_brand(F.col("p_brand")).alias("brand"), F.transform(F.split(F.lower("p_name"), " "), text.fold_plural).alias("folded"), text.section_key(F.col("p_name")).alias("slug"))
 
 
-@query("""select p_partkey, p_size, case p_size % 4 when 0 then case when p_size <= 30 then p_size * 1.0::double end when 1 then p_size / 1000.0 * 6 when 2 then p_size / 100.0 else p_size * 1.0 end::double as total, case when p_size % 4 = 0 and p_size > 30 then null else case p_size % 4 when 0 then 'kg' when 1 then 'l' when 2 then 'l' else 'un' end end as unit, case when p_size % 4 = 0 and p_size > 30 then null when p_size % 4 = 1 then 6 else 1 end as pack_count
-  from part where p_size % 4 <> 1 or p_size >= 10""")
+@query("""select p_partkey, p_size, case when p_size % 4 = 1 and p_size < 10 then null else case p_size % 4 when 0 then case when p_size <= 30 then p_size * 1.0::double end when 1 then p_size / 1000.0 * 6 when 2 then p_size / 100.0 else p_size * 1.0 end end::double as total, case when (p_size % 4 = 0 and p_size > 30) or (p_size % 4 = 1 and p_size < 10) then null else case p_size % 4 when 0 then 'kg' when 1 then 'l' when 2 then 'l' else 'un' end end as unit, case when (p_size % 4 = 0 and p_size > 30) or (p_size % 4 = 1 and p_size < 10) then null when p_size % 4 = 1 then 6 else 1 end as pack_count
+  from part""")
 def parsed_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes read back from names made with thousands dots, multipacks, centilitres and units; over 30 kg and under one centilitre is refused."""
     n = F.col("p_size").cast("string")
