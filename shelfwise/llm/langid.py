@@ -207,7 +207,8 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, languages: tu
 
     columns = [c for c in docs.columns]
     mark = next(f"_predicted{k}" for k in range(len(columns) + 1) if f"_predicted{k}" not in columns)
-    seen = docs.withColumn(mark, predicted(F.col(f"`{text_col}`")))
+    # not deterministic to the optimizer, or it copies the call into the filter and every text meets the network twice
+    seen = docs.withColumn(mark, predicted.asNondeterministic()(F.col(f"`{text_col}`")))
     kept = seen.filter((F.col(f"{mark}.score") >= min_score) & (F.col(f"{mark}.lang") != UNDETERMINED))
     kept = kept.filter(F.col(f"{mark}.lang").isin(*languages)) if languages else kept
     return kept.withColumn(lang_col, F.col(f"{mark}.lang")).select(*(F.col(f"`{c}`") for c in columns))
