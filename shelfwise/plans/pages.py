@@ -41,7 +41,7 @@ def walked_pages(spark: SparkSession, sf: str) -> DataFrame:
     return pages.walk_stops(known, tiles, "walk", "page", "item", "published", 30)
 
 
-@query("""with n as (select *, case p_size % 4 when 0 then round(p_size * 100::double * 0.001, 6) end as named, p_size % 4 = 1 as loose, case p_partkey % 4 when 1 then round(p_size * 100::double * 0.001, 6) when 2 then 2.0::double when 3 then 1.0::double end as stored, case when p_partkey % 4 > 0 then 'kg' end as unit, case when p_partkey % 6 = 0 or p_partkey % 9 = 1 then 'listing' end as source, p_partkey % 5 = 0 as page_read, p_brand like '%3' as per_item, case when p_size > 25 then p_size end as pieces, p_retailprice > 1400 as implausible from part),
+@query("""with n as (select *, case p_size % 4 when 0 then round(p_size * 100::double * 0.001, 6) end as named, p_size % 4 = 1 as loose, case p_partkey % 4 when 1 then round(p_size * 100::double * 0.001, 6) when 2 then round(p_size * 105::double * 0.001, 6) when 3 then 1.0::double end as stored, case when p_partkey % 4 > 0 then 'kg' end as unit, case when p_partkey % 6 = 0 or p_partkey % 9 = 1 then 'listing' end as source, p_partkey % 5 = 0 as page_read, p_brand like '%3' as per_item, case when p_size > 25 then p_size end as pieces, p_retailprice > 1400 as implausible from part),
   d as (select *, case when named is null then stored when abs(stored / named - 1) <= 0.1 then named end as decided from n),
   v as (select *, case when per_item then case when pieces is not null then 'count' else 'kept' end
     when stored is null then case when source = 'listing' then 'kept' when named is not null then 'name' when loose then 'loose' else 'kept' end
@@ -54,7 +54,7 @@ def sizes_backfilled(spark: SparkSession, sf: str) -> DataFrame:
     size, key = F.col("p_size"), F.col("p_partkey")
     grams = F.concat(F.lit(" "), (size * 100).cast("string"), F.lit(" g"))
     name = F.concat("p_name", F.when(size % 4 == 0, grams).when(size % 4 == 1, F.lit(" kg")).otherwise(F.lit("")))
-    stored = F.when(key % 4 == 1, F.round((size * 100).cast("double") * 0.001, 6)).when(key % 4 == 2, 2.0).when(key % 4 == 3, 1.0)
+    stored = F.when(key % 4 == 1, F.round((size * 100).cast("double") * 0.001, 6)).when(key % 4 == 2, F.round((size * 105).cast("double") * 0.001, 6)).when(key % 4 == 3, 1.0)
     source = F.when((key % 6 == 0) | (key % 9 == 1), "listing")
     got = pages.backfilled_size(F.col("parsed"), F.col("loose"), stored, F.when(key % 4 > 0, "kg"), source, key % 5 == 0, F.col("p_brand").endswith("3"), F.when(size > 25, size), F.lit(False), F.lit(False), F.col("p_retailprice") > 1400)
     read = table(spark, sf, "part").withColumns({"parsed": measures.parse_size(name), "loose": measures.sold_loose(name)})
@@ -81,14 +81,14 @@ def grouped_writes(spark: SparkSession, sf: str) -> DataFrame:
     return pages.grouped_writes(changes, ["kind", "labels"], 5)
 
 
-GUESSES = [Rule("greens", ("green", "lime", "olive")), Rule("sweets", ("chocolate", "honeydew", "almond")), Rule("fruit", ("peach", "plum", "tomato"))]
+GUESSES = [Rule("warm", ("hot",)), Rule("fixings", ("bolt", "rod")), Rule("round", ("ring", "gear", "plate"))]
 
 
-@query("""with w as (select p_partkey, string_split(p_name, ' ')[1] as head, string_split(trim(regexp_replace(p_name, '\\b(?:dark|pale)\\b.*$', '')), ' ') as words from part), k as (select p_partkey, list_transform(list_concat([head], words), lambda x: case when x in ('green', 'lime', 'olive') then 'greens' when x in ('chocolate', 'honeydew', 'almond') then 'sweets' when x in ('peach', 'plum', 'tomato') then 'fruit' end) as kinds from w)
+@query("""with w as (select p_partkey, string_split(p_name, ' ')[1] as head, string_split(trim(regexp_replace(p_name, '\\b(?:plate|gizmo)\\b.*$', '')), ' ') as words from part), k as (select p_partkey, list_transform(list_concat([head], words), lambda x: case when x = 'hot' then 'warm' when x in ('bolt', 'rod') then 'fixings' when x in ('ring', 'gear', 'plate') then 'round' end) as kinds from w)
   select p_partkey, list_filter(kinds, lambda x: x is not null)[1] as guess from k""")
 def name_guesses(spark: SparkSession, sf: str) -> DataFrame:
     """What a name alone suggests, by its head, then by its words before a cut."""
-    return table(spark, sf, "part").select("p_partkey", pages.name_guess(F.col("p_name"), GUESSES, ["dark", "pale"]).alias("guess"))
+    return table(spark, sf, "part").select("p_partkey", pages.name_guess(F.col("p_name"), GUESSES, ["plate", "gizmo"]).alias("guess"))
 
 
 @query("""select s_suppkey, s_nationkey, coalesce(case when n_nationkey % 7 > 0 and n_nationkey % 5 > 0 then n_name end, 'nation ' || s_nationkey) as n_name from supplier left join nation on s_nationkey = n_nationkey""")
