@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 # Accented letters of western European languages and their base letters, in the same order.
 ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüñçýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÑÇÝ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
-#: What follows a number as a unit of measure in a product name.
-SIZE_TOKEN = r"\d+(?:[.,]\d+)?\s*(?:kg|g|gr|mg|l|lt|cl|dl|ml|un|uni|unid|unidades|m)\b"
-PACK_WORDS = ("pack", "emb", "embalagem", "lata", "garrafa", "frasco", "pacote", "saco")
+#: A size, or a multipack's, and the words of packing, as a name states them.
+SIZE_TOKEN = r"\b\d+(?:[.,]\d+)?\s*(?:x\s*\d+(?:[.,]\d+)?\s*)?(?:kg|g|gr|grs|l|lt|ml|cl)\b"
+PACK_TOKEN = r"\b(?:pack|emb|embalagem|un|uni|unidades?)\b\.?"
 
 
 def strip_accents(text: Column) -> Column:
@@ -39,7 +39,7 @@ def normalize_brand(brand: Column) -> Column:
 def normalize_name(name: Column) -> Column:
     """Without sizes, pack words and punctuation, single spaces."""
     text = F.regexp_replace(plain(name), SIZE_TOKEN, " ")
-    text = F.regexp_replace(text, rf"\b(?:{'|'.join(PACK_WORDS)})\b", " ")
+    text = F.regexp_replace(text, PACK_TOKEN, " ")
     return F.trim(F.regexp_replace(F.regexp_replace(text, "[^a-z0-9 ]", " "), " +", " "))
 
 

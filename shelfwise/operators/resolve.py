@@ -18,18 +18,27 @@ EXACT, FUZZY = 0.7, 0.45
 PRICE_GUARD = 0.4
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through a table in the shared folder named by spark.checkpoint.dir (a local one where unset, as in tests)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share.
+
+    Where it is unset, a local master gets a new folder of its own (tests); on a cluster that would lose rows, so it raises.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         folder = f"file://{tempfile.mkdtemp(prefix='shelfwise-')}"
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/resolve-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through a table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/resolve-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def blocking_keys(items: DataFrame, item: str = "id", store: str = "store", tokens: str = "tokens", most: int = MOST_COMMON, rarest: int = RAREST) -> DataFrame:
