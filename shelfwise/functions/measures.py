@@ -77,6 +77,12 @@ def parse_size(name: Column) -> Column:
     text = F.regexp_replace(text, r"(?i)\bn\s?[º°]\s?\d+", " ")
     text = F.regexp_replace(text, r"\((?:[^()]*(?:escorrid|drained|liq)[^()]*)\)", " ")
     text = F.regexp_replace(text, r"(\d)\.(\d{3})(?=\s*(?:g|ml|gr)\b)", "$1$2")
+    # bound once: the expressions below read it a dozen times
+    return F.get(F.transform(F.array(text), _size_in), 0)
+
+
+def _size_in(text: Column) -> Column:
+    """The size in a prepared name, see parse_size()."""
     unclear = text.rlike(rf"{NUMBER}\s*(?:{UNITS})?\s*(?:a|até|-|ou)\s*{NUMBER}\s*{UNITS}\b") | text.rlike(rf"{NUMBER}\s*{UNITS}\s*/\s*{NUMBER}\s*{UNITS}\b") | text.rlike(r"\bmin\.?\s*\d|\bmax\.?\s*\d")
     pattern = rf"(?:(\d+)\s*(?:x|\*)\s*)?{NUMBER}\s*{UNITS}\b"
     packs = F.coalesce(F.regexp_extract(text, pattern, 1).try_cast("int"), F.lit(1))

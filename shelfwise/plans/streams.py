@@ -53,7 +53,7 @@ def periods_streamed(spark: SparkSession, sf: str) -> DataFrame:
     rows = obs.select("store", "product_id", day.alias("day"), order.alias("ord"), F.col("price_cents").alias("cents"), "available", arrives.alias("arrives"))
     # a last row of no product moves the watermark past all days
     end = spark.range(1).selectExpr("cast(null as string) as store", "cast(null as bigint) as product_id", "timestamp'2200-01-01' as day", "'' as ord", "cast(null as bigint) as cents", "cast(null as boolean) as available", "0L as arrives")
-    stream = _arriving(rows, ["arrives"], 3, end)
+    stream = _arriving(rows, ["arrives"], 2, end)
     schema = "store string, product_id bigint, period bigint, price_cents bigint, available boolean, first_seen date, last_seen date, n_seen bigint, is_open boolean"
     target = sink.VersionedTable(spark, _new_folder(spark, "periods"), schema, ["store", "product_id", "period"])
     save = lambda rows, batch: target.merge(sink.newest(rows, ["store", "product_id", "period"], ["n_seen", "last_seen"]), batch)
@@ -78,7 +78,7 @@ def reports_limited(spark: SparkSession, sf: str) -> DataFrame:
     schema = "visitor bigint, request bigint, at bigint, admitted boolean"
     target = sink.VersionedTable(spark, _new_folder(spark, "limits"), schema, ["request"])
     with _stateful(spark):
-        made = states.streamed_limits(_arriving(e, ["arrives"], 3), LIMIT, WINDOW_MS)
+        made = states.streamed_limits(_arriving(e, ["arrives"], 2), LIMIT, WINDOW_MS)
         sink.in_slices(made.writeStream.outputMode("append"), target.merge, _new_folder(spark, "offsets"))
     rows = target.read()
     # the last request of a day that the total admits; of each day only that many rows are ranked
@@ -99,7 +99,7 @@ def refusals_streamed(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select((F.col("user_id") % 20).alias("host"), F.col("event_id").alias("request"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").isin("error", "view", "click").alias("refused"), F.unix_micros(F.col("ts").cast("timestamp")).alias("arrives"))
     target = sink.VersionedTable(spark, _new_folder(spark, "refusals"), "host bigint, request bigint, in_a_row bigint, act string", ["request"])
     with _stateful(spark):
-        made = states.streamed_refusals(_arriving(e, ["arrives"], 3), 3, 2)
+        made = states.streamed_refusals(_arriving(e, ["arrives"], 2), 3, 2)
         sink.in_slices(made.writeStream.outputMode("append"), target.merge, _new_folder(spark, "offsets"))
     return target.read()
 
