@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.operators.ordered import places
+
 OK, WARN, FAIL = "OK", "WARN", "FAIL"
 
 
@@ -165,9 +167,10 @@ def limiter(events: DataFrame, key: str, at: str, tie: str, per_window: int, sec
 
 
 def cumulative_share(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Running share of the total in descending order; how many groups cover x per cent."""
-    w = Window.orderBy(F.col(value).desc(), key).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.col(value).desc(), key))).withColumn("share", F.sum(value).over(w) / F.sum(value).over(Window.partitionBy()))
+    """Running share of the total in descending order; how many groups cover x per cent. No task holds all groups."""
+    out = places(rows, "place", [-F.col(value), F.col(key)], value, "_running")
+    total = rows.agg(F.sum(value).alias("_total"))
+    return out.crossJoin(total).withColumn("share", F.col("_running") / F.col("_total")).withColumn("place", F.col("place").cast("int")).drop("_running", "_total")
 
 
 def binomial_upper(hits: int, tries: int, level: float = 0.95) -> float:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import codes, measures, text
-from shelfwise.operators import compare, periods, quality, resolve, rules
+from shelfwise.operators import compare, ordered, periods, quality, resolve, rules
 from shelfwise.plans.catalog import LISTINGS, OBSERVATIONS, PRODUCTS, RUNS, listings, observations, products, runs, stores, table
 from shelfwise.sources import ingest
 
@@ -482,8 +482,11 @@ def nested_orders(spark: SparkSession, sf: str) -> DataFrame:
 def orderings(spark: SparkSession, sf: str) -> DataFrame:
     """Nulls last in both directions, never-checked first."""
     s = table(spark, sf, "supplier").withColumn("v", F.when(F.col("s_suppkey") % 5 != 0, F.col("s_acctbal")))
-    rank = lambda *o: F.row_number().over(Window.orderBy(*o, "s_suppkey"))
-    return s.select("s_suppkey", "s_acctbal", rank(F.col("v").asc_nulls_last()).alias("cheapest_first"), rank(F.col("v").desc_nulls_last()).alias("newest_first"), rank((F.col("s_suppkey") % 5 != 0), "s_acctbal").alias("stalest_first"))
+    v, key = F.col("v"), F.col("s_suppkey")
+    out = ordered.places(s, "cheapest_first", [v.isNull(), v, key])
+    out = ordered.places(out, "newest_first", [v.isNull(), -v, key])
+    out = ordered.places(out, "stalest_first", [key % 5 != 0, F.col("s_acctbal"), key])
+    return out.select("s_suppkey", "s_acctbal", *(F.col(c).cast("int").alias(c) for c in ("cheapest_first", "newest_first", "stalest_first")))
 
 
 @query("""select p_partkey, p_type, sha256('7' || p_partkey::varchar) as draw from part qualify row_number() over (partition by p_type order by sha256('7' || p_partkey::varchar), p_partkey) <= 5""")
