@@ -41,44 +41,86 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def blocking_keys(items: DataFrame, item: str = "id", store: str = "store", tokens: str = "tokens", most: int = MOST_COMMON, rarest: int = RAREST) -> DataFrame:
-    """(id, store, token): an item's rarest tokens within its store, of those in at most `most` listings, or else its single rarest.
+def blocking_keys(items: DataFrame, item: str = "id", store: str = "store", tokens: str = "tokens", brand: str | None = "brand", most: int = MOST_COMMON, rarest: int = RAREST) -> DataFrame:
+    """(item, target, token, place): what an item is looked up by at each other store where its brand is unknown.
 
-    Document counts are aggregated before the window, and the cap keeps a token from meeting more than most * most rows.
+    Those are its rarest tokens there, of those in at most `most` of the target's items, or else its single rarest one
+    there, however common. Document counts are aggregated before they meet the items' tokens.
     """
     exploded = items.select(item, store, F.explode(F.array_distinct(tokens)).alias("token"))
-    df = exploded.groupBy(store, "token").agg(F.count("*").alias("df"))
-    ranked = exploded.join(df, [store, "token"]).withColumn("rank", F.row_number().over(Window.partitionBy(item).orderBy("df", "token")))
-    return ranked.filter((F.col("rank") == 1) | ((F.col("rank") <= rarest) & (F.col("df") <= most))).select(item, store, "token")
+    at = exploded.groupBy(F.col(store).alias("target"), "token").agg(F.count("*").alias("df"))
+    met = exploded.join(at, "token").filter(F.col("target") != F.col(store))
+    if brand:
+        named = items.filter(F.coalesce(F.col(brand) != "", F.lit(False)))
+        known = named.select(F.col(brand).alias("_brand"), F.col(store).alias("target")).distinct()
+        by_brand = named.join(known, F.col(brand) == F.col("_brand")).select(item, "target")
+        met = met.join(by_brand, [item, "target"], "left_anti")
+    w = Window.partitionBy(item, "target").orderBy("df", "token")
+    ranked = met.withColumn("place", F.row_number().over(w))
+    return ranked.filter((F.col("place") == 1) | ((F.col("place") <= rarest) & (F.col("df") <= most))).select(item, "target", "token", "place")
+
+
+def _scored(met: DataFrame) -> DataFrame:
+    """Adds the token Jaccard of sides (a_tokens, b_tokens), taken once; drops the tokens."""
+    shared = met.withColumn("_shared", F.size(F.array_intersect("a_tokens", "b_tokens")))
+    all_of = F.size("a_tokens") + F.size("b_tokens") - F.col("_shared")
+    return shared.withColumn("score", F.when(F.col("_shared") == 0, 0.0).otherwise(F.col("_shared") / all_of)).drop("_shared", "a_tokens", "b_tokens")
 
 
 def candidate_pairs(items: DataFrame, item: str = "id", store: str = "store", tokens: str = "tokens", brand: str = "brand", gtin: str | None = None, least: float = LEAST_SCORE, top: int = TOP) -> DataFrame:
-    """Pairs of items of different stores that share a brand, a rare token or a trade item number, scored by token Jaccard.
+    """Pairs of items of different stores that a lookup brings together, scored by token Jaccard.
+
+    An item is looked up at each other store: among the items of its brand if the store has the brand, else among those
+    that hold one of its rarest tokens there (blocking_keys()). Of each lookup the `top` best of at least that score
+    stay, ties by id. Items of equal trade item numbers are always paired. Ids are in order (a < b); block is brand,
+    else token, else gtin.
 
-    Brand blocks take precedence over token blocks as provenance. Of each item and target store the `top` best pairs
-    of at least that score stay, ties by id; pairs with equal numbers always stay. Ids are in order (a < b).
+    Items of one brand are not all compared: pairs of the least score share a token among the first few of either in
+    rare-first order, so a brand is joined by those tokens, and a pair is scored at the first that it shares. A token lookup
+    scores a pair at the first of the item's tokens that the other has. Large blocks are split by adaptive execution.
     Returns a, b, store_a, store_b, score, block.
     """
-    have = F.array_distinct(F.col(tokens)).alias("tokens")
-    rare = blocking_keys(items, item, store, tokens).select(F.col(item).alias("_id"), F.concat(F.lit("t:"), "token").alias("key"), F.lit(2).alias("prio"))
-    blocks = items.join(rare, F.col(item) == F.col("_id")).select(item, store, have, "key", "prio")
-    named = lambda c, mark, prio: items.filter(F.col(c).isNotNull() & (F.col(c).cast("string") != "")).select(item, store, have, F.concat(F.lit(mark), F.col(c).cast("string")).alias("key"), F.lit(prio).alias("prio"))
-    blocks = blocks.unionByName(named(brand, "b:", 1))
+    base = items.select(F.col(item).alias("id"), F.col(store).alias("store"), F.col(brand).alias("brand"), F.array_distinct(F.col(tokens)).alias("tokens"), *([F.col(gtin).alias("gtin")] if gtin else []))
+    side = lambda df, s: df.select(*(F.col(c).alias(f"{s}_{c}") for c in df.columns))
+    other = F.col("a_store") != F.col("b_store")
+
+    # items of one brand, by the tokens that any pair of the least score shares one of
+    words = base.filter("brand <> ''").select("id", F.explode("tokens").alias("token"))
+    counts = words.groupBy("token").agg(F.count("*").alias("df"))
+    rare_first = words.join(counts, "token").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("rare"))
+    keep = F.size("rare") - F.ceil(F.size("rare") * F.lit(least)) + 1
+    branded = base.filter("brand <> ''").join(rare_first, "id").select("id", "store", "brand", "tokens", F.slice("rare", F.lit(1), F.greatest(keep, F.lit(1)).cast("int")).alias("prefix"))
+    keyed = branded.withColumn("key", F.explode("prefix"))
+    first = F.array_min(F.array_intersect("a_prefix", "b_prefix")) == F.col("a_key")
+    met = side(keyed, "a").join(side(keyed, "b"), (F.col("a_brand") == F.col("b_brand")) & (F.col("a_key") == F.col("b_key")) & (F.col("a_id") < F.col("b_id")) & other).filter(first)
+    by_brand = _scored(met.select("a_id", "b_id", "a_store", "b_store", "a_tokens", "b_tokens")).filter(F.col("score") >= least)
+    there = by_brand.select(F.col("a_id").alias("i"), F.col("b_id").alias("j"), F.col("a_store").alias("store"), F.col("b_store").alias("target"), "score")
+    back = by_brand.select(F.col("b_id").alias("i"), F.col("a_id").alias("j"), F.col("b_store").alias("store"), F.col("a_store").alias("target"), "score")
+    looked = there.unionByName(back).withColumn("prio", F.lit(1))
+
+    # the others, by their rarest tokens at the target
+    keys = blocking_keys(base, "id", "store", "tokens", "brand")
+    chosen = keys.groupBy("id", "target").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("chosen"))
+    asking = chosen.join(base.select("id", "store", "tokens"), "id").withColumn("key", F.explode("chosen"))
+    held = base.select(F.col("id").alias("b_id"), F.col("store").alias("b_store"), F.col("tokens").alias("b_tokens"), F.explode("tokens").alias("b_key"))
+    at_first = F.get(F.filter("chosen", lambda t: F.array_contains("b_tokens", t)), 0) == F.col("key")
+    met = asking.join(held, (F.col("key") == F.col("b_key")) & (F.col("target") == F.col("b_store"))).filter(at_first)
+    by_token = _scored(met.select(F.col("id").alias("i"), F.col("b_id").alias("j"), "store", "target", F.col("tokens").alias("a_tokens"), "b_tokens")).filter(F.col("score") >= least)
+    looked = looked.unionByName(by_token.withColumn("prio", F.lit(2)))
+
+    w = Window.partitionBy("i", "target").orderBy(F.col("score").desc(), "j")
+    kept = looked.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= top)
+    turned = F.col("i") > F.col("j")
+    flip = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    pairs = kept.select(flip("i", "j").alias("a"), flip("j", "i").alias("b"), flip("store", "target").alias("store_a"), flip("target", "store").alias("store_b"), "score", "prio")
     if gtin:
-        blocks = blocks.unionByName(named(gtin, "g:", 0))
-    a, b = blocks.alias("a"), blocks.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col(f"a.{item}") < F.col(f"b.{item}")) & (F.col(f"a.{store}") != F.col(f"b.{store}")))
-    # scored where they meet, so that only pairs of a sufficient score are shuffled; a large block is split by adaptive execution
-    shared = F.size(F.array_intersect("a.tokens", "b.tokens"))
-    score = F.when(shared == 0, 0.0).otherwise(shared / (F.size("a.tokens") + F.size("b.tokens") - shared))
-    met = met.select(F.col(f"a.{item}").alias("a"), F.col(f"b.{item}").alias("b"), F.col(f"a.{store}").alias("store_a"), F.col(f"b.{store}").alias("store_b"), score.alias("score"), F.col("a.prio").alias("prio"))
-    scored = met.filter((F.col("score") >= least) | (F.col("prio") == 0)).groupBy("a", "b").agg(*(F.min(c).alias(c) for c in ("store_a", "store_b", "score", "prio")))
-    by_a = F.row_number().over(Window.partitionBy("a", "store_b").orderBy(F.col("score").desc(), "b"))
-    by_b = F.row_number().over(Window.partitionBy("b", "store_a").orderBy(F.col("score").desc(), "a"))
-    kept = scored.withColumn("_ra", by_a).withColumn("_rb", by_b)
-    kept = kept.filter((F.col("_ra") <= top) | (F.col("_rb") <= top) | (F.col("prio") == 0))
-    block = F.when(F.col("prio") == 0, "gtin").when(F.col("prio") == 1, "brand").otherwise("token")
-    return kept.select("a", "b", "store_a", "store_b", "score", block.alias("block"))
+        coded = base.filter("gtin is not null").select("id", "store", "tokens", "gtin")
+        met = side(coded, "a").join(side(coded, "b"), (F.col("a_gtin") == F.col("b_gtin")) & (F.col("a_id") < F.col("b_id")) & other)
+        same = _scored(met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_store").alias("store_a"), F.col("b_store").alias("store_b"), "a_tokens", "b_tokens"))
+        pairs = pairs.unionByName(same.withColumn("prio", F.lit(3)))
+    made = pairs.groupBy("a", "b").agg(*(F.min(c).alias(c) for c in ("store_a", "store_b", "score", "prio")))
+    block = F.when(F.col("prio") == 1, "brand").when(F.col("prio") == 2, "token").otherwise("gtin")
+    return made.select("a", "b", "store_a", "store_b", "score", block.alias("block"))
 
 
 def classify(score: Column, gtin_a: Column, gtin_b: Column, brand_a: Column, brand_b: Column, size_a: Column, unit_a: Column, size_b: Column, unit_b: Column, price_a: Column, price_b: Column, qualifier: Column, own_a: Column | None = None, own_b: Column | None = None) -> Column:

@@ -344,13 +344,15 @@ def _items(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(key.alias("id"), (key % 5).alias("store"), "brand", "size", "unit", "own_brand", F.lower("name").alias("name"), gtin.alias("gtin"), price.alias("unit_price"), tokens.alias("tokens"))
 
 
-PAIRS = f"""{ITEMS}, x as (select id, store, unnest(tokens) as token from items), df as (select store, token, count(*) as df from x group by 1, 2),
-keys as (select id, store, 't:' || token as key, 2 as prio from (select x.id, x.store, x.token, df, row_number() over (partition by x.id order by df, x.token) as rank from x join df on x.store = df.store and x.token = df.token) where rank = 1 or (rank <= 2 and df <= 400)
-  union all select id, store, 'b:' || brand, 1 from items where brand <> '' union all select id, store, 'g:' || gtin, 0 from items where gtin is not null),
-met as (select a.id as a, b.id as b, min(a.prio) as prio from keys a join keys b on a.key = b.key and a.id < b.id and a.store <> b.store group by 1, 2),
-scored as (select m.*, i.store as store_a, j.store as store_b, len(list_intersect(i.tokens, j.tokens)) / len(list_distinct(list_concat(i.tokens, j.tokens))) as score from met m join items i on m.a = i.id join items j on m.b = j.id),
-kept as (select *, row_number() over (partition by a, store_b order by score desc, b) as ra, row_number() over (partition by b, store_a order by score desc, a) as rb from scored where score >= 0.45 or prio = 0),
-pairs as (select a, b, store_a, store_b, score, case prio when 0 then 'gtin' when 1 then 'brand' else 'token' end as block from kept where ra <= 5 or rb <= 5 or prio = 0)"""
+PAIRS = f"""{ITEMS}, x as (select id, store, unnest(tokens) as token from items), df as (select store as target, token, count(*) as df from x group by 1, 2),
+known as (select i.id, t.target from items i join (select distinct brand, store as target from items where brand <> '') t on i.brand = t.brand and t.target <> i.store),
+keys as (select id, target, token from (select x.id, df.target, x.token, df, row_number() over (partition by x.id, df.target order by df, x.token) as rank from x join df on x.token = df.token and df.target <> x.store left join known k on x.id = k.id and df.target = k.target where k.id is null) where rank = 1 or (rank <= 2 and df <= 400)),
+looked as (select i.id as i, j.id as j, 1 as prio from known k join items i on k.id = i.id join items j on j.store = k.target and j.brand = i.brand union all select distinct keys.id, x.id, 2 from keys join x on x.store = keys.target and x.token = keys.token),
+scored as (select l.*, p.store as store, q.store as target, len(list_intersect(p.tokens, q.tokens)) / len(list_distinct(list_concat(p.tokens, q.tokens))) as score from looked l join items p on l.i = p.id join items q on l.j = q.id),
+kept as (select * from scored where score >= 0.45 qualify row_number() over (partition by i, target order by score desc, j) <= 5),
+coded as (select a.id as a, b.id as b, a.store as store_a, b.store as store_b, len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens))) as score from items a join items b on a.gtin = b.gtin and a.id < b.id and a.store <> b.store),
+pairs as (select a, b, any_value(store_a) as store_a, any_value(store_b) as store_b, any_value(score) as score, case min(prio) when 1 then 'brand' when 2 then 'token' else 'gtin' end as block from (
+  select least(i, j) as a, greatest(i, j) as b, case when i < j then store else target end as store_a, case when i < j then target else store end as store_b, score, prio from kept union all select a, b, store_a, store_b, score, 3 from coded) group by 1, 2)"""
 
 
 @query(f"with {PAIRS} select a, b, store_a, store_b, score, block from pairs")

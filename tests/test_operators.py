@@ -109,9 +109,51 @@ def test_guards_and_core(spark):
 
 
 def test_blocking_keeps_a_single_common_token(spark):
-    items = spark.createDataFrame([(i, "s", ["milk"]) for i in range(5)] + [(9, "s", ["milk", "rare"])], "id long, store string, tokens array<string>")
-    got = rows(resolve.blocking_keys(items, most=3).select("id", "token"))
-    assert got == [(i, "milk") for i in range(5)] + [(9, "rare")]
+    there = [(i, "t", None, ["milk"]) for i in range(5)] + [(8, "t", "y", ["rare", "milk"])]
+    asking = [(20, "s", None, ["milk"]), (21, "s", "x", ["milk", "rare"]), (22, "s", "y", ["rare"]), (23, "s", "", ["none"])]
+    items = spark.createDataFrame(there + asking, "id long, store string, brand string, tokens array<string>")
+    got = rows(resolve.blocking_keys(items, most=3).filter("target = 't'").select("id", "token", "place"))
+    assert got == [(20, "milk", 1), (21, "rare", 1)]
+
+
+def plain_pairs(items, most=400, rarest=2, least=0.45, top=5):
+    """The lookup rule item by item: (a, b, score, block)."""
+    stores, out = sorted({s for _, s, *_ in items}), {}
+    for i, store, brand, tokens, _ in items:
+        for target in stores:
+            if target == store:
+                continue
+            there = [x for x in items if x[1] == target]
+            found = [x for x in there if brand and x[2] == brand]
+            block = "brand" if found else "token"
+            if not found:
+                df = sorted((sum(t in x[3] for x in there), t) for t in set(tokens))
+                ranked = [(n, t) for n, t in df if n]
+                keys = [t for n, t in ranked if n <= most][:rarest] or [t for _, t in ranked[:1]]
+                found = [x for x in there if set(keys) & set(x[3])]
+            scored = [(-len(set(tokens) & set(x[3])) / len(set(tokens) | set(x[3])), x[0]) for x in found if set(tokens) | set(x[3])]
+            for score, j in sorted(s for s in scored if -s[0] >= least)[:top]:
+                key = (min(i, j), max(i, j))
+                if key not in out or block == "brand":
+                    out[key] = (-score, block)
+    for x in items:
+        for y in items:
+            if x[0] < y[0] and x[1] != y[1] and x[4] is not None and x[4] == y[4]:
+                both = set(x[3]) | set(y[3])
+                out.setdefault((x[0], y[0]), (len(set(x[3]) & set(y[3])) / len(both) if both else 0.0, "gtin"))
+    return {(*k, round(s, 9), b) for k, (s, b) in out.items()}
+
+
+def test_candidates_equal_lookups_item_by_item(spark):
+    import random
+
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(14)]
+    items = [(i, rng.choice("stu"), rng.choice((None, "", "b1", "b2", "b3" if i < 40 else "b1")), rng.choices(words[: rng.choice((4, 14))], k=rng.randrange(5)), rng.choice((None, None, i % 17))) for i in range(160)]
+    frame = spark.createDataFrame(items, "id long, store string, brand string, tokens array<string>, gtin long")
+    got = {(r.a, r.b, round(r.score, 9), r.block) for r in resolve.candidate_pairs(frame, gtin="gtin").collect()}
+    assert got == plain_pairs(items) and {x[3] for x in got} == {"brand", "token", "gtin"}
+    assert resolve.candidate_pairs(frame.limit(0), gtin="gtin").collect() == []
 
 
 def test_human_decisions_stay(spark):
