@@ -10,13 +10,27 @@ from shelfwise.llm import decontaminate, jaccard, langid, mixing, secrets
 from shelfwise.llm.common import stage
 
 
+#: Rows of texts that a stage hands to Python at once. The pipeline's stages run one after the other in the same executors,
+#: whose workers keep the largest batch they have seen, on both sides of the pipe.
+BATCH_ROWS = 1000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS; a session that asks for smaller ones keeps them."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting, "10000")) <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, with lang as it was told; texts without letters and unsure guesses go."""
+    bounded(spark)
     return langid.keep_identified(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that n-gram Jaccard links form."""
+    bounded(spark)
     return jaccard.keep_one(docs)
 
 
@@ -27,6 +41,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets masked."""
+    bounded(spark)
     return secrets.redact(docs, model=secrets.fit(docs))
 
 
