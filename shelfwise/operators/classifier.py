@@ -43,9 +43,12 @@ class Patterns:
     listed: str = r",|\be\b"
 
 
+RULE = "struct<order: int, kind: string, require: string, exclude: string, name_only: boolean, prepared: boolean>"
+
+
 def rule_words(kinds: DataFrame, words: DataFrame) -> DataFrame:
     """(word, claims, roles): the kinds that claim a word as head, in the order of their table, and what else it is."""
-    rule = F.struct("order", "kind", "require", "exclude", "name_only", "prepared").alias("rule")
+    rule = F.struct("order", "kind", "require", "exclude", "name_only", "prepared").cast(RULE).alias("rule")
     claims = kinds.select(F.explode("heads").alias("word"), rule).groupBy("word").agg(F.sort_array(F.collect_list("rule")).alias("claims"))
     roles = words.groupBy("word").agg(F.collect_set("role").alias("roles"))
     none = F.array().cast("array<string>")
@@ -68,13 +71,16 @@ def shelf_words(segment: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
 
 
 def first_claim(claims: Column, name: Column, from_shelf: bool = False) -> Column:
-    """The first rule among a word's claims whose patterns allow the name; a shelf cannot use rules for names only."""
+    """The first rule among a word's claims whose patterns allow the name; a shelf cannot use rules for names only.
+
+    Later rules are not tried once one allows the name.
+    """
 
     def allows(c: Column) -> Column:
         ok = F.coalesce(F.rlike(name, c["require"]), F.lit(True)) & ~F.coalesce(F.rlike(name, c["exclude"]), F.lit(False))
         return ok & ~c["name_only"] if from_shelf else ok
 
-    return F.get(F.filter(claims, allows), 0)
+    return F.aggregate(claims, F.lit(None).cast(RULE), lambda found, c: F.when(found.isNotNull(), found).when(allows(c), c))
 
 
 def shelves(segments: DataFrame, vocabulary: DataFrame, stop: tuple[str, ...] = STOP_WORDS, patterns: Patterns = Patterns()) -> DataFrame:
@@ -120,10 +126,12 @@ def explain_kinds(items: DataFrame, kinds: DataFrame, words: DataFrame, item: st
         F.try_element_at(kept, F.lit(-1)).alias("_leaf"), F.try_element_at(kept, F.lit(-2)).alias("_parent"), (F.coalesce(F.col(food), F.lit(False)) if food else F.lit(True)).alias("_food"),
     )
 
-    met = base.select("_item", "_plain", F.posexplode("_words").alias("pos", "word")).join(vocabulary, "word")
-    rule = first_claim(F.col("claims"), F.col("_plain"))
-    met = met.withColumn("rule", rule).select("_item", F.struct("pos", "word", "roles", F.col("rule.kind").alias("kind"), F.col("rule.prepared").alias("prepared")).alias("hit"))
-    hits = met.groupBy("_item").agg(F.sort_array(F.collect_list("hit")).alias("_hits"))
+    # only a name that begins with a cut is read past its first two words; names stay out of the rows of their words
+    leads = vocabulary.select(F.col("word").alias("_lead"), F.array_contains("roles", "cut").alias("_leads"))
+    base = base.withColumn("_lead", F.get("_words", 0)).join(leads, "_lead", "left")
+    read = F.when(F.coalesce("_leads", F.lit(False)), F.col("_words")).otherwise(F.slice("_words", 1, 2))
+    met = base.select("_item", F.posexplode(read).alias("pos", "word")).join(vocabulary, "word")
+    hits = met.groupBy("_item").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "roles", "claims"))).alias("_met"))
 
     segments = base.select(F.explode(F.array_compact(F.array("_leaf", "_parent"))).alias("segment")).distinct()
     known = shelves(segments, vocabulary, stop, patterns)
@@ -131,6 +139,9 @@ def explain_kinds(items: DataFrame, kinds: DataFrame, words: DataFrame, item: st
     rows = base.join(hits, "_item", "left").join(side("_leaf"), "_leaf", "left").join(side("_parent"), "_parent", "left")
 
     has = lambda hit, role: F.coalesce(F.array_contains(hit["roles"], role), F.lit(False))
+    claimed = lambda h, rule: F.struct(h["pos"].alias("pos"), h["word"].alias("word"), h["roles"].alias("roles"), rule["kind"].alias("kind"), rule["prepared"].alias("prepared"))
+    ruled = F.transform("_met", lambda h: F.get(F.transform(F.array(first_claim(h["claims"], F.col("_plain"))), lambda rule: claimed(h, rule)), 0))
+    rows = rows.withColumn("_hits", ruled)
     plain, own = F.col("_plain"), F.get(F.split("_shelf", "[/>]"), F.size(F.split("_shelf", "[/>]")) - 1)
     cooked = plain.rlike(patterns.cooked)
     prepared = (F.col("_shelf").rlike(patterns.prepared_shelf) & ~F.col("_shelf").rlike(patterns.not_prepared_shelf)) | cooked

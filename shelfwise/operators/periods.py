@@ -42,6 +42,31 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], poin
     return left.join(right, [*keys, "_bucket"]).filter(hold).drop("_bucket")
 
 
+#: Levels of dyadic day ranges: 2 ** 15 days are 89 years.
+LEVELS = 16
+
+
+def interval_least(points: DataFrame, intervals: DataFrame, keys: list[str], by: list[str], point: str, start: str, end: str, closed: str, value: Column) -> DataFrame:
+    """Of each point (keys, date) and each by-group of its keys, the least value among the intervals that hold it.
+
+    Intervals are [start, end), or [start, end] where closed holds. Each is cut into the few dyadic ranges of days that
+    make it up (two a level at most); the least value of each range is taken first, and a point looks up the one range
+    of each level that it lies in. So no point meets an interval: rows are points and intervals times levels.
+    Returns keys, point, by, least.
+    """
+    day = lambda c: F.datediff(F.col(c), F.lit("1900-01-01").cast("date"))
+    low, high = day(start), day(end) + F.col(closed).cast("int")
+    cut = intervals.select(*keys, *by, value.alias("_v"), low.alias("_a"), high.alias("_z"), F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("_level"))
+    width = F.pow(F.lit(2), F.col("_level")).cast("long")
+    cut = cut.withColumn("_l", F.ceil(F.col("_a") / width).cast("long")).withColumn("_r", F.floor(F.col("_z") / width).cast("long")).filter("_l < _r")
+    last = F.col("_level") == LEVELS - 1
+    nodes = F.when(last, F.sequence(F.col("_l"), F.col("_r") - 1)).otherwise(F.array_compact(F.array(F.when(F.col("_l") % 2 == 1, F.col("_l")), F.when(F.col("_r") % 2 == 1, F.col("_r") - 1))))
+    ranges = cut.select(*keys, *by, "_level", F.explode(nodes).alias("_node"), "_v").groupBy(*keys, *by, "_level", "_node").agg(F.min("_v").alias("_v"))
+    asked = points.select(*keys, point, day(point).alias("_d"), F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("_level"))
+    asked = asked.withColumn("_node", F.floor(F.col("_d") / width).cast("long"))
+    return asked.join(ranges, [*keys, "_level", "_node"]).groupBy(*keys, point, *by).agg(F.min("_v").alias("least"))
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, value: str) -> DataFrame:
     """Each left row with the newest right value strictly before it: one union, one window, no range join."""
     a = left.withColumn("_at", F.col(left_at)).withColumn("_side", F.lit(0)).withColumn("_value", F.lit(None).cast(right.schema[value].dataType))

@@ -198,8 +198,8 @@ def price_history(spark: SparkSession, sf: str) -> DataFrame:
     held = p.withColumn("from", F.col("first_seen")).withColumn("is_last", following.isNull()).withColumn("until", F.coalesce(following, F.col("last_seen")))
     held = held.filter(F.col("price_cents").isNotNull() & F.col("available"))
     days = held.select("kind", F.col("from").alias("day")).distinct()
-    met = periods.interval_join(days, held.withColumnRenamed("until", "to"), ["kind"], "day", "from", "to", "is_last", 90)
-    return met.groupBy("kind", "day", "store").agg(F.min(F.struct("price_cents", "product_id")).alias("b")).select("kind", "day", "store", "b.*")
+    least = periods.interval_least(days, held, ["kind"], ["store"], "day", "from", "until", "is_last", F.struct("price_cents", "product_id"))
+    return least.select("kind", "day", "store", "least.*")
 
 
 @query("""with m as (select *, event_type = 'error' as hit, sum(case when event_type = 'error' then 0 else 1 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as run from events)
