@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,20 +25,38 @@ def _fill(template: str, **values: Column) -> Column:
     return out
 
 
-KEY = F.col("p_partkey")
-#: Cents, written with a dot in data and with a comma in text.
-_CENTS = F.floor(F.col("p_retailprice") * 100 + 0.5).cast("long")
-_DOT = F.concat(F.floor(_CENTS / 100).cast("string"), F.lit("."), F.lpad((_CENTS % 100).cast("string"), 2, "0"))
-_COMMA = F.replace(_DOT, F.lit("."), F.lit(","))
-_GRAMS = (KEY % 900 + 100).cast("string")
-_WORD = F.when(KEY % 7 == 0, "OutOfStock").when(KEY % 7 == 1, "PreOrder").otherwise("InStock")
+@dataclass(frozen=True)
+class Shown:
+    """What the made pages show of a part, as columns: cents with a dot in data and with a comma in text."""
+
+    key: Column = field(default_factory=lambda: F.col("p_partkey"))
+    dot: Column = field(default_factory=lambda: F.concat(F.floor(_cents() / 100).cast("string"), F.lit("."), F.lpad((_cents() % 100).cast("string"), 2, "0")))
+
+    @property
+    def comma(self) -> Column:
+        return F.replace(self.dot, F.lit("."), F.lit(","))
+
+    @property
+    def grams(self) -> Column:
+        return (self.key % 900 + 100).cast("string")
+
+    @property
+    def word(self) -> Column:
+        return F.when(self.key % 7 == 0, "OutOfStock").when(self.key % 7 == 1, "PreOrder").otherwise("InStock")
+
+
+def _cents() -> Column:
+    return F.floor(F.col("p_retailprice") * 100 + 0.5).cast("long")
+
+
 _LD = '<script type="application/ld+json">{ broken</script><script type="application/ld+json">[{"@type":"BreadcrumbList"},{"@graph":[{"@type":"Product","name":"{name}","brand":{"name":"{brand}"},"offers":{"price":{price},"availability":"https://schema.org/{word}"{more}}{gtin}}]}]</script>'
 _OTHERS = '<div class="carousel"><div class="price">9,99 €</div><span class="pwc-tile--price-primary">8,88€/kg</span></div>'
 
 
 def _page(p: DataFrame, inside: str, ld: str = _LD, **values: Column) -> DataFrame:
-    no_product = F.when(KEY % 29 == 0, F.lit("")).otherwise(F.lit(ld))
-    base = dict(name=F.concat("p_name", F.lit(" &amp; co")), brand=F.when(KEY % 4 == 0, "").otherwise(F.col("p_brand")), price=F.when(KEY % 13 == 0, F.lit("0")).otherwise(_DOT), word=_WORD, grams=_GRAMS, comma=_COMMA, key=KEY.cast("string"))
+    c = Shown()
+    no_product = F.when(c.key % 29 == 0, F.lit("")).otherwise(F.lit(ld))
+    base = dict(name=F.concat("p_name", F.lit(" &amp; co")), brand=F.when(c.key % 4 == 0, "").otherwise(F.col("p_brand")), price=F.when(c.key % 13 == 0, F.lit("0")).otherwise(c.dot), word=c.word, grams=c.grams, comma=c.comma, key=c.key.cast("string"))
     html = F.concat(F.lit("<!DOCTYPE html><html><body>" + _OTHERS), "filler", _fill("{ld}" + inside, ld=no_product, **(base | values)), F.lit("</body></html>"))
     return p.select("p_partkey", html.alias("html"))
 
@@ -52,9 +72,10 @@ _STATED = """case when price is null then 'not_for_sale' when word = 'OutOfStock
     case when not missing then case when p_partkey % 3 = 0 and price is not null then cents / 100 else 7.25 end end::double as shown_unit_price, case when not missing then coalesce(not (p_partkey % 13 = 0) and p_partkey % 5 = 0, false) end as on_promotion, case when not missing and price is not null and p_partkey % 5 = 0 then 99999.5::double end as regular_price from s""")
 def pages_of_store_a(spark: SparkSession, sf: str) -> DataFrame:
     """Product block, price box among other prices, escaped code, size label or price per kilo, price before a discount."""
+    c = Shown()
     inside = '<div class="x ct-pdp--prices"><p><span class="pwc-tile--price-primary">{comma}€{per}</span><div><b class="pwc-tile--price-secondary">7,25€/kg</b></div></div><span class="ct-pdp--unit">Emb. {grams} g</span><a href="/n?pid=1&amp;ean=56{key}">n</a><i data-x="{&quot;pre_discount_price&quot;: {was}}"></i>'
-    per = F.when(KEY % 3 == 0, "/kg").otherwise("")
-    was = F.when(KEY % 5 == 0, "99999.5").otherwise("0.5")
+    per = F.when(c.key % 3 == 0, "/kg").otherwise("")
+    was = F.when(c.key % 5 == 0, "99999.5").otherwise("0.5")
     pages = _page(_around(spark, sf), inside, more=F.lit(""), gtin=F.lit(""), per=per, was=was)
     out = parsers.parsed_pages(pages, "continente", "p_partkey", "html", F.to_date(F.lit("2024-06-01")))
     return out.select("p_partkey", "state", "name", "brand", "price", "availability", "sign", "code", "size", "unit", "shown_unit_price", "on_promotion", "regular_price")
@@ -67,11 +88,12 @@ def pages_of_store_a(spark: SparkSession, sf: str) -> DataFrame:
     case when state = 'read' then case when p_partkey % 3 = 0 and p is not null then 1.0 else grams / 1000.0 end end::double as size, case when state = 'read' then case when p_partkey % 3 = 0 and p is not null then p else 13.9 end end::double as shown_unit_price, case when state = 'read' then (grams - 50) / 1000.0 end::double as drained from t""")
 def pages_of_store_b(spark: SparkSession, sf: str) -> DataFrame:
     """Price as text (zero, null with or without the sold-out box), size and unit price in one label, drained weight beside a bold word."""
+    c = Shown()
     inside = '<div class="prices"><span class="price">\n {text}{per} </span></div>{box}<h1 class="product-unit-measure">{kg} Kg | 13,9 €/Kg</h1><div id="drained-net-weight"><b>Peso 1 kg</b> {drained} g</div>'
-    nul = KEY % 11 == 0
-    text = F.when(nul, "null").when(KEY % 13 == 0, "0,00 €").otherwise(F.concat(_COMMA, F.lit(" €")))
-    kg = F.concat(F.lit("0."), F.lpad(_GRAMS, 3, "0"))
-    pages = _page(_around(spark, sf), inside, more=F.lit(""), gtin=F.lit(""), text=text, per=F.when(KEY % 3 == 0, "/Kg").otherwise(""), box=F.when(KEY % 22 == 0, '<p class="a product-unavailable">x').otherwise(""), kg=kg, drained=(KEY % 900 + 50).cast("string"))
+    nul = c.key % 11 == 0
+    text = F.when(nul, "null").when(c.key % 13 == 0, "0,00 €").otherwise(F.concat(c.comma, F.lit(" €")))
+    kg = F.concat(F.lit("0."), F.lpad(c.grams, 3, "0"))
+    pages = _page(_around(spark, sf), inside, more=F.lit(""), gtin=F.lit(""), text=text, per=F.when(c.key % 3 == 0, "/Kg").otherwise(""), box=F.when(c.key % 22 == 0, '<p class="a product-unavailable">x').otherwise(""), kg=kg, drained=(c.key % 900 + 50).cast("string"))
     out = parsers.parsed_pages(pages, "pingodoce", "p_partkey", "html", F.to_date(F.lit("2024-06-01")))
     return out.select("p_partkey", "state", "name", "price", "availability", "sign", "size", "shown_unit_price", "drained")
 
@@ -81,9 +103,10 @@ def pages_of_store_b(spark: SparkSession, sf: str) -> DataFrame:
     case when not missing then 2 * grams / 1000.0 end::double as size, case when not missing then coalesce(until >= date '2024-05-31', false) end as on_promotion, case when not missing and until >= date '2024-05-31' then until end as promotion_ends from t""")
 def pages_of_store_c(spark: SparkSession, sf: str) -> DataFrame:
     """All fields from the product block, size from the name, no price as not for sale, promotions that have not ended."""
-    until = F.when(KEY % 6 > 3, F.concat(F.lit(',"priceValidUntil":"2024-0'), (KEY % 6 + 2).cast("string"), F.lit('-15T00:00:00Z"'))).when(KEY % 6 == 0, ',"priceValidUntil":"soon"').otherwise(F.concat(F.lit(',"priceValidUntil":"2024-05-'), (KEY % 6 + 28).cast("string"), F.lit('"')))
-    gtin = F.when(KEY % 5 > 0, F.concat(F.lit(',"gtin":"789'), KEY.cast("string"), F.lit('"'))).otherwise(F.lit(""))
-    pages = _page(_around(spark, sf), "<p>end", name=F.concat("p_name", F.lit(" 2X"), _GRAMS, F.lit("G")), price=F.when(KEY % 13 == 0, "null").otherwise(_DOT), more=until, gtin=gtin)
+    c = Shown()
+    until = F.when(c.key % 6 > 3, F.concat(F.lit(',"priceValidUntil":"2024-0'), (c.key % 6 + 2).cast("string"), F.lit('-15T00:00:00Z"'))).when(c.key % 6 == 0, ',"priceValidUntil":"soon"').otherwise(F.concat(F.lit(',"priceValidUntil":"2024-05-'), (c.key % 6 + 28).cast("string"), F.lit('"')))
+    gtin = F.when(c.key % 5 > 0, F.concat(F.lit(',"gtin":"789'), c.key.cast("string"), F.lit('"'))).otherwise(F.lit(""))
+    pages = _page(_around(spark, sf), "<p>end", name=F.concat("p_name", F.lit(" 2X"), c.grams, F.lit("G")), price=F.when(c.key % 13 == 0, "null").otherwise(c.dot), more=until, gtin=gtin)
     out = parsers.parsed_pages(pages, "auchan", "p_partkey", "html", F.to_date(F.lit("2024-06-01")))
     return out.select("p_partkey", "state", "price", "availability", "sign", "code", "size", "on_promotion", "promotion_ends")
 
@@ -95,15 +118,16 @@ def pages_of_store_c(spark: SparkSession, sf: str) -> DataFrame:
   union all select page, count(*)::int, 'malformed', null, null, null, null, null from p where page % 3 = 0 group by page""")
 def embedded_tiles(spark: SparkSession, sf: str) -> DataFrame:
     """Tiles of pages of twenty parts, by brace matching that knows strings and escapes; every tile is accounted for."""
-    i, raw = KEY % 20, F.concat("p_name", F.lit(' {"}" \\ & }{'))
+    c = Shown()
+    i, raw = c.key % 20, F.concat("p_name", F.lit(' {"}" \\ & }{'))
     name = F.replace(F.replace(raw, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    id_ = F.when(i == 9, KEY - 1).otherwise(KEY)
-    item = F.concat(F.lit('{"item_id":"'), id_.cast("string"), F.lit('","item_name":"'), F.when(i == 7, F.lit("")).otherwise(name), F.lit('","price":'), _DOT, F.lit(',"item_brand":"'), F.col("p_brand"), F.lit('","item_category":"food","item_category2":"'), F.col("p_type"), F.lit('"}'))
+    id_ = F.when(i == 9, c.key - 1).otherwise(c.key)
+    item = F.concat(F.lit('{"item_id":"'), id_.cast("string"), F.lit('","item_name":"'), F.when(i == 7, F.lit("")).otherwise(name), F.lit('","price":'), c.dot, F.lit(',"item_brand":"'), F.col("p_brand"), F.lit('","item_category":"food","item_category2":"'), F.col("p_type"), F.lit('"}'))
     body = F.when(i == 3, F.concat(F.lit('{"items":[oops '), item, F.lit("]}"))).when(i == 5, F.concat(F.lit('{"items":['), item, F.lit(","), item, F.lit("]}"))).otherwise(F.concat(F.lit('{"a":{"b":{}},"items":['), item, F.lit("]}")))
     encoded = F.replace(F.replace(body, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
-    link = F.when(i == 11, F.lit("")).otherwise(F.concat(F.lit('<a href="/x/'), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), KEY.cast("string"), F.lit('.html?a=1">x</a>')))
+    link = F.when(i == 11, F.lit("")).otherwise(F.concat(F.lit('<a href="/x/'), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), c.key.cast("string"), F.lit('.html?a=1">x</a>')))
     tile = F.concat(F.lit('<div data-gtm-info="x" data-gtm-info="'), encoded, F.lit('">'), link, F.lit("</div>"))
-    grid = _around(spark, sf).groupBy(F.floor(KEY / 20).alias("page")).agg(F.min("filler").alias("filler"), F.sort_array(F.collect_list(F.struct(KEY.alias("k"), tile.alias("t")))).alias("tiles"))
+    grid = _around(spark, sf).groupBy(F.floor(c.key / 20).alias("page")).agg(F.min("filler").alias("filler"), F.sort_array(F.collect_list(F.struct(c.key.alias("k"), tile.alias("t")))).alias("tiles"))
     tail = F.when(F.col("page") % 3 == 0, F.lit('<div data-gtm-info="{&quot;items&quot;:[{&quot;a&quot;:&quot;}&quot;')).otherwise(F.lit(""))
     html = F.concat("filler", F.array_join(F.transform("tiles", lambda x: x["t"]), ""), tail)
     found = elements.embedded_tiles(grid.select("page", html.alias("html")), "page", "html")
