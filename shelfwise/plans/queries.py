@@ -385,6 +385,17 @@ def pair_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return _ladder(spark, sf).select("a", "b", "rung", resolve.verdict(F.col("rung"), F.col("veto")).alias("verdict"))
 
 
+@query(f"""with {PAIRS}, found as (select distinct least(i, j) as a, greatest(i, j) as b from kept)
+  select count(*) as n_true, count(f.a) as n_found, count(f.a) / count(*) as recall from coded t left join found f on t.a = f.a and t.b = f.b""")
+def pairs_recalled(spark: SparkSession, sf: str) -> DataFrame:
+    """How many pairs of different stores with one number the lookups by brand and words find without the number."""
+    items = _items(spark, sf)
+    coded = items.filter("gtin is not null").select("id", "store", "gtin")
+    b = coded.select(F.col("id").alias("b"), F.col("store").alias("store_b"), "gtin")
+    truth = coded.select(F.col("id").alias("a"), "store", "gtin").join(b, "gtin").filter("a < b and store <> store_b").select("a", "b")
+    return resolve.recall(resolve.candidate_pairs(items), truth)
+
+
 REACH = f"""{LADDER}, strong as (select a, b from ladder where rung in ('ean', 'exact') and not dear), links as (select a, b from strong union select b, a from strong),
   reach as (select a as id, a as other from links union select reach.id, links.b from reach join links on reach.other = links.a)"""
 
