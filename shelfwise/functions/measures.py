@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfwise.functions.text import plain
+
 #: Prices up to this stand for "no price".
 PLACEHOLDER = 0.01
 #: Largest pack of one thing: kg and l.
@@ -38,6 +40,12 @@ def unit_price(price: Column, size: Column) -> Column:
     return F.when(size > 0, price / size).otherwise(price)
 
 
+# How names and pages write goods sold by weight, prices and unit prices.
+SOLD_PER_KG = r"(?i)(\bkg\b\s*$)|(\d\s*(?:kg|g)?\s+a\s+\d+(?:[.,]\d+)?\s*kg\s*\)?\s*$)|\bgranel\b|\bao\s+quilo\b|\bpor\s+kg\b"
+SHOWN_FIGURE = r"(?i)(\d[\d.]*,\d{1,2}|\d+(?:\.\d+)?)\s*€\s*/\s*(kg|lt?|un)\b"
+PRICE_TEXT = r"(?i)(\d[\d.]*,\d{1,2}|\d+(?:\.\d+)?)\s*€\s*(?:/\s*(kg|lt?)\b)?"
+
+
 def price_ratio(a: Column, b: Column) -> Column:
     """Larger over smaller; null if either is missing or not positive."""
     return F.when((F.least(a, b) > 0) & a.isNotNull() & b.isNotNull(), F.greatest(a, b) / F.least(a, b))
@@ -96,27 +104,56 @@ def _size_in(text: Column) -> Column:
 
 
 def sold_loose(name: Column) -> Column:
-    """Sold by weight at the counter."""
-    return F.lower(name).rlike(r"\b(?:kg|quilo|granel|avulso|ao peso)\b") & ~F.lower(name).rlike(r"\d\s*kg\b")
+    """Sold by weight: a name that ends in kg or in a range of weights, or says so."""
+    return F.rlike(name, F.lit(SOLD_PER_KG))
+
+
+def _figure(text: Column) -> Column:
+    """1.234,56 or 8.6 as a number: with a comma, dots only group."""
+    return F.when(text.contains(","), F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(text).try_cast("double")
 
 
 def parse_shown_unit_price(text: Column) -> Column:
-    """struct<figure double, unit string> of a label such as 2,49 €/kg."""
-    pattern = r"(\d+(?:[.,]\d+)?)\s*(?:€|eur)?\s*/\s*(kg|l|lt|un|dz)"
-    figure = _number(F.regexp_extract(F.lower(text), pattern, 1))
-    unit = F.regexp_replace(F.regexp_extract(F.lower(text), pattern, 2), "lt", "l")
-    return F.when(figure.isNotNull(), F.struct(figure.alias("figure"), unit.alias("unit")))
+    """struct<figure double, unit string> of a label such as 2,49 €/kg, 8.6 €/Kg or 6,65€/lt; null without a figure above 0."""
+    figure = _figure(F.regexp_extract(text, SHOWN_FIGURE, 1))
+    unit = F.lower(F.regexp_extract(text, SHOWN_FIGURE, 2))
+    return F.when(figure > 0, F.struct(figure.alias("figure"), F.when(unit.isin("kg", "un"), unit).otherwise("l").alias("unit")))
+
+
+def priced_per_unit(text: Column, price: Column) -> Column:
+    """kg or l where the price text's first figure is the price and is stated for that much; null otherwise."""
+    unit = F.lower(F.regexp_extract(text, PRICE_TEXT, 2))
+    return F.when((F.abs(_figure(F.regexp_extract(text, PRICE_TEXT, 1)) - price) <= 0.005) & (unit != ""), F.when(unit == "kg", "kg").otherwise("l"))
+
+
+def implausible_pods(name: Column, total: Column, unit: Column) -> Column:
+    """Capsules whose page size is a count read as a quantity: any size in litres, or a kilogram and more."""
+    return plain(name).rlike(r"\b(capsula|pastilha)s?\b") & ((unit == "l") | (total >= 1))
+
+
+def corrected_size(name: Column, total: Column, unit: Column, per_unit: Column) -> Column:
+    """struct<total double, unit string>: 1 where the price is per unit; null where the label is a count; else the label."""
+    return F.when(per_unit.isNotNull(), F.struct(F.lit(1.0).alias("total"), per_unit.alias("unit"))).when(total.isNotNull() & ~F.coalesce(implausible_pods(name, total, unit), F.lit(False)), F.struct(total.cast("double").alias("total"), unit.alias("unit")))
+
+
+def size_from_unit_price(price: Column, figure: Column, unit: Column) -> Column:
+    """The size with the fewest significant digits (at most three) whose unit price may round to the figure shown.
+
+    With none inside the rounding, three digits. Only per kg and l; null beyond what one container holds.
+    """
+    size, low = price / figure, price / (figure + 0.005)
+    high = F.when(figure > 0.005, price / (figure - 0.005)).otherwise(float("inf"))
+    digits = lambda n: F.floor(size * (scale := F.pow(F.lit(10.0), F.lit(n - 1) - F.floor(F.log10(size)))) + 0.5) / scale
+    total = F.coalesce(*(F.when((digits(n) >= low) & (digits(n) <= high), digits(n)) for n in (1, 2, 3)), digits(3))
+    known = F.when((price > 0) & (figure > 0) & unit.isin("kg", "l"), total)
+    return F.get(F.transform(F.array(known), lambda t: F.when((t >= F.when(unit == "kg", 0.001).otherwise(0.01)) & (t <= F.when(unit == "kg", MOST_KG).otherwise(MOST_L)), t)), 0)
 
 
-def size_from_unit_price(price: Column, figure: Column) -> Column:
-    """The size with the fewest significant digits whose unit price rounds to the figure shown; null if there is none."""
-    size, low, high = price / figure, price / (figure + 0.005), price / F.greatest(figure - 0.005, F.lit(1e-9))
-    out = []
-    for digits in (1, 2, 3):
-        scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(size)))
-        rounded = F.floor(size * scale + 0.5) / scale
-        out.append(F.when((rounded >= low) & (rounded <= high), rounded))
-    return F.when((price > 0) & (figure > 0), F.coalesce(*out))
+def struck_promotion(struck: Column, price: Column) -> Column:
+    """struct<on_promotion boolean, regular_price double>: a crossed-out price above today's is a promotion, else none."""
+    before = _number(F.regexp_extract(struck, r"(\d+(?:[.,]\d+)?)", 1))
+    on = F.coalesce(before > price, F.lit(False))
+    return F.struct(on.alias("on_promotion"), F.when(on, before).alias("regular_price"))
 
 
 def reconcile_size(tile: Column, name: Column, multipack: Column, tin: Column) -> Column:
@@ -162,8 +199,8 @@ def promotion_end(day: Column, month: Column, today: Column) -> Column:
 
 
 def parse_price(text: Column) -> Column:
-    """1.234,56 € as a number."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_extract(text, r"(\d[\d.]*(?:,\d+)?)", 1), r"\.(?=\d{3})", ""), ",", ".").try_cast("double")
+    """1.234,56 € as a number: the first figure with decimals after a comma; dots group."""
+    return _figure(F.regexp_extract(text, r"([\d.]*\d,\d{1,2})", 1))
 
 
 def availability(word: Column) -> Column:

@@ -58,9 +58,10 @@ def rolling_baseline(runs: DataFrame, keys: list[str], order: str, value: str, b
     return out.withColumn("drift", F.try_divide(F.col(value) - F.col("baseline"), F.col("baseline")))
 
 
-def drop_warnings(now: DataFrame, before: DataFrame, key: str, value: str, share: float = 0.2, least: int = 50) -> DataFrame:
+def drop_warnings(now: DataFrame, before: DataFrame, key: str | list[str], value: str, share: float = 0.2, least: int = 50) -> DataFrame:
     """missing, dropped (more than a share of at least `least` rows), new or ok, of each key of two runs."""
-    joined = before.select(key, F.col(value).alias("before")).join(now.select(key, F.col(value).alias("now")), key, "full_outer")
+    keys = [key] if isinstance(key, str) else key
+    joined = before.select(*keys, F.col(value).alias("before")).join(now.select(*keys, F.col(value).alias("now")), keys, "full_outer")
     state = F.when(F.col("now").isNull() | (F.col("now") == 0) & (F.col("before") > 0), "missing").when(F.col("before").isNull(), "new").when((F.col("before") >= least) & (F.col("now") < (1 - share) * F.col("before")), "dropped").otherwise("ok")
     return joined.withColumn("state", state)
 

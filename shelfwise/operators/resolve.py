@@ -239,6 +239,29 @@ def match_earlier(new: DataFrame, earlier: DataFrame, key: str = "gtin") -> Data
     return joined.select("id", key, F.when(F.col("n_earlier") == 1, F.col("earlier_id")).alias("earlier_id"), F.when(F.col("n_earlier") == 1, "matched").otherwise("ambiguous").alias("status"))
 
 
+def follow_successors(decisions: DataFrame, items: DataFrame) -> DataFrame:
+    """Decisions whose items changed their id, one hop on: id, a, b, state (kept, repointed, retired).
+
+    decisions: id, a, b with a <= b. items: id, superseded_by, delisted. A member whose successor is there and not
+    delisted gives way to it; the pair is put in order again. A pair that is already decided, or that a decision of a
+    smaller id moves to, retires the later one; it keeps its old members.
+    """
+    alive = items.filter("not coalesce(delisted, false)").select(F.col("id").alias("_alive")).distinct()
+    hops = items.filter("superseded_by is not null").join(alive, F.col("superseded_by") == F.col("_alive")).select(F.col("id").alias("_from"), F.col("superseded_by").alias("_to"))
+    rows = decisions.select("id", "a", "b")
+    for side in ("a", "b"):
+        rows = rows.join(hops.select(F.col("_from").alias(f"_{side}"), F.col("_to").alias(f"_{side}_to")), F.col(side) == F.col(f"_{side}"), "left").drop(f"_{side}")
+    x, y = F.coalesce("_a_to", "a"), F.coalesce("_b_to", "b")
+    moved = rows.select("id", "a", "b", F.least(x, y).alias("x"), F.greatest(x, y).alias("y"), (F.col("_a_to").isNotNull() | F.col("_b_to").isNotNull()).alias("moved"))
+    there = decisions.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct().withColumn("_there", F.lit(True))
+    first = moved.filter("moved").groupBy("x", "y").agg(F.min("id").alias("_first"))
+    judged = moved.join(there, ["x", "y"], "left").join(first, ["x", "y"], "left")
+    state = F.when(~F.col("moved"), "kept").when(F.col("_there").isNotNull() | (F.col("id") != F.col("_first")), "retired").otherwise("repointed")
+    judged = judged.withColumn("state", state)
+    pick = lambda new, old: F.when(F.col("state") == "repointed", F.col(new)).otherwise(F.col(old))
+    return judged.select("id", pick("x", "a").alias("a"), pick("y", "b").alias("b"), "state")
+
+
 def recall(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """Share of the true pairs (a, b) that are among the pairs."""
     joined = truth.select("a", "b").distinct().join(pairs.select("a", "b").distinct().withColumn("hit", F.lit(1)), ["a", "b"], "left")

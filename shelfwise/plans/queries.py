@@ -225,12 +225,13 @@ def run_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return quality.rolling_baseline(runs(spark, sf), ["section"], "run", "collected").withColumn("drift", F.round("drift", 9))
 
 
-@query(f"""with {RUNS}, a as (select section, collected as "before" from runs where run = '1996-01'), b as (select section, collected as now from runs where run = '1996-02')
-  select section, "before", now, case when now is null or (now = 0 and "before" > 0) then 'missing' when "before" is null then 'new' when "before" >= 50 and now < 0.8 * "before" then 'dropped' else 'ok' end as state from a full join b using (section)""")
+@query(f"""with {RUNS}, a as (select strftime((run || '-01')::date + interval 1 month, '%Y-%m') as run, section, collected as "before" from runs), b as (select run, section, collected as now from runs)
+  select run, section, "before", now, case when now is null or (now = 0 and "before" > 0) then 'missing' when "before" is null then 'new' when "before" >= 50 and now < 0.8 * "before" then 'dropped' else 'ok' end as state from a full join b using (run, section) where run in (select run from runs)""")
 def section_drops(spark: SparkSession, sf: str) -> DataFrame:
-    """Sections that lost rows between two loads."""
+    """Q3 Q2 H6: sections that lost rows from one load to the next, over all loads."""
     r = runs(spark, sf)
-    return quality.drop_warnings(r.filter("run = '1996-02'"), r.filter("run = '1996-01'"), "section", "collected")
+    shifted = r.withColumn("run", F.date_format(F.add_months(F.to_date(F.concat("run", F.lit("-01"))), 1), "yyyy-MM")).join(r.select("run").distinct(), "run", "left_semi")
+    return quality.drop_warnings(r, shifted, ["run", "section"], "collected")
 
 
 @query("""with r as (select o_orderstatus as file, strftime(o_orderdate, '%Y-%m') as run, count(*) as entries from orders group by 1, 2),
@@ -562,7 +563,7 @@ def review_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query("""with p as (select p_partkey, p_brand, p_type, p_partkey % 5 as store from part)
   select a.p_partkey, case when count(b.p_type) = 0 then 'none' when count(distinct b.p_type) = 1 and any_value(b.p_type) = a.p_type then 'high' else 'review' end as certainty from p a left join p b on a.p_brand = b.p_brand and a.store <> b.store group by a.p_partkey, a.p_type""")
 def kind_certainty(spark: SparkSession, sf: str) -> DataFrame:
-    """Agreement with other stores' items of the same number."""
+    """K8 in its simple form: agreement with other stores' items of the same brand; see kinds_certain."""
     p = table(spark, sf, "part").withColumn("store", F.col("p_partkey") % 5)
     return rules.certainty(p, "p_partkey", "store", "p_brand", "p_type")
 
@@ -590,13 +591,14 @@ def json_fields(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type").agg(F.sum(F.coalesce(k.try_cast("long"), F.lit(0))).alias("total"), F.count_if(k.isNull()).alias("bad"))
 
 
-@query("""with a as (select l_partkey as k, l_suppkey as v, 0 as w, l_orderkey, l_linenumber from lineitem where l_returnflag = 'R'), b as (select l_partkey, l_suppkey, 1, l_orderkey, l_linenumber from lineitem where l_returnflag = 'A')
-  select k, v from (select * from a union all select * from b) qualify row_number() over (partition by k order by w, v) = 1""")
+@query("""with a as (select l_partkey as k, l_suppkey as v, 0 as w, l_orderkey, l_linenumber from lineitem where l_returnflag = 'R'), b as (select l_partkey, l_suppkey, 1, l_orderkey, l_linenumber from lineitem where l_returnflag = 'A'), c as (select l_partkey, l_suppkey, 2, l_orderkey, l_linenumber from lineitem where l_returnflag is null or l_returnflag not in ('R', 'A'))
+  select k, v from (select * from a union all select * from b union all select * from c) qualify row_number() over (partition by k order by w, v) = 1""")
 def first_wins(spark: SparkSession, sf: str) -> DataFrame:
     """Union of walks, the earliest walk's row of each key."""
     l = table(spark, sf, "lineitem")
-    walk = lambda f: l.filter(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("v"))
-    return ingest.first_wins([walk("R"), walk("A")], ["k"])
+    flag = F.coalesce("l_returnflag", F.lit(""))
+    walk = lambda c: l.filter(c).select(F.col("l_partkey").alias("k"), F.col("l_suppkey").alias("v"))
+    return ingest.first_wins([walk(flag == "R"), walk(flag == "A"), walk(~flag.isin("R", "A"))], ["k"])
 
 
 @query("""with o as (select c_custkey as id, c_acctbal as price, c_name as name, c_custkey % 4 as dead_count, c_custkey % 4 = 3 as delisted from customer where c_custkey % 3 <> 0), n as (select c_custkey as id, case when c_custkey % 4 = 0 then null else c_acctbal + 1 end as price, c_custkey % 2 = 0 as set_price from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0)
@@ -627,21 +629,21 @@ def load_brakes(spark: SparkSession, sf: str) -> DataFrame:
     return quality.brakes(c.withColumn("unchanged", F.lit(1))).select("status", "reasons")
 
 
-@query("""select o_orderkey, date_diff('day', cast(o_orderdate as date), date '2001-06-30') >= case when o_orderkey % 5 = 0 then -100000 when o_orderkey % 40 < 7 then 7 when o_orderkey % 40 < 30 then 30 else 90 + o_orderkey % 40 end as due from orders where o_orderdate < timestamp '2001-01-01'""")
+@query("""select o_orderkey, date_diff('day', cast(o_orderdate as date), date '2001-06-30') >= case when o_orderkey % 5 = 0 then -100000 when o_orderkey % 40 < 7 then 7 when o_orderkey % 40 < 30 then 30 else 90 + o_orderkey % 40 end as due from orders""")
 def rechecks(spark: SparkSession, sf: str) -> DataFrame:
     """Which delisted rows are due for another check."""
-    o = table(spark, sf, "orders").filter(F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp_ntz")).withColumn("d", F.col("o_orderdate").cast("date"))
+    o = table(spark, sf, "orders").withColumn("d", F.col("o_orderdate").cast("date"))
     checked = F.when(F.col("o_orderkey") % 5 != 0, F.date_add("d", (F.col("o_orderkey") % 40).cast("int")))
     return o.select("o_orderkey", periods.recheck_due(F.col("d"), checked, F.lit("2001-06-30").cast("date")).alias("due"))
 
 
-@query("""with old as (select o_orderkey as id, o_custkey as gtin from orders where o_orderdate < timestamp '1997-01-01'), new as (select o_orderkey as id, o_custkey as gtin from orders where o_orderdate >= timestamp '2001-01-01'), c as (select gtin, count(*) as n, min(id) as e from old group by 1)
+@query("""with old as (select o_orderkey as id, o_custkey as gtin from orders where o_orderdate < timestamp '1997-01-01'), new as (select o_orderkey as id, o_custkey as gtin from orders where o_orderdate >= timestamp '1997-01-01'), c as (select gtin, count(*) as n, min(id) as e from old group by 1)
   select new.id, gtin, case when n = 1 then e end as earlier_id, case when n = 1 then 'matched' else 'ambiguous' end as status from new join c using (gtin)""")
 def reidentified(spark: SparkSession, sf: str) -> DataFrame:
-    """New items matched to the one earlier item with their number."""
+    """New items matched to the one earlier item with their number."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("gtin"), "o_orderdate")
-    at = lambda d: F.lit(d).cast("timestamp_ntz")
-    return resolve.match_earlier(o.filter(F.col("o_orderdate") >= at("2001-01-01")).drop("o_orderdate"), o.filter(F.col("o_orderdate") < at("1997-01-01")).drop("o_orderdate"))
+    cut = F.lit("1997-01-01").cast("timestamp_ntz")
+    return resolve.match_earlier(o.filter(F.col("o_orderdate") >= cut).drop("o_orderdate"), o.filter(F.col("o_orderdate") < cut).drop("o_orderdate"))
 
 
 @query("""with l as (select doc_id, quality = 1 as good from labels), d as (select doc_id, n_chars >= 200 as said from documents) select count(*) as n_true, count(*) filter (where said) as n_found, count(*) filter (where said) / count(*) as recall from l join d using (doc_id) where good""")

@@ -59,7 +59,7 @@ def parsed_pages(pages: DataFrame, store: str, key: str, html: str, today: Colum
     label = measures.parse_size(F.coalesce(at("unit"), F.lit("")) if store != "auchan" else F.col("name"))
     rows = rows.select("*", label.alias("label"), measures.parse_shown_unit_price(F.when(F.col("whole").isNotNull(), headline).otherwise(secondary)).alias("figures"))
     none = F.lit(None).cast("double")
-    rows = rows.select("*", (measures.parse_size(at("drained")) if store == "pingodoce" else F.col("label")).alias("left"), (measures.size_from_unit_price(price, F.col("figures.figure")) if store == "continente" else none).alias("derived"))
+    rows = rows.select("*", (measures.parse_size(at("drained")) if store == "pingodoce" else F.col("label")).alias("left"), (measures.size_from_unit_price(price, F.col("figures.figure"), F.col("figures.unit")) if store == "continente" else none).alias("derived"))
     word, whole, name = F.col("word"), F.col("whole"), F.col("name")
     if store == "pingodoce":
         availability = F.when(price.isNull(), "not_for_sale").otherwise("for_sale")

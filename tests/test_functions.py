@@ -60,7 +60,7 @@ def test_money_and_sizes(spark):
     assert value(spark, measures.sellable_price(F.lit(float("nan")))) is None
     assert value(spark, measures.for_sale(F.lit(2.0), F.lit(False))) is None
     assert value(spark, measures.for_sale(F.lit(2.0), F.lit(None).cast("boolean"))) == 2.0
-    assert value(spark, measures.size_from_unit_price(F.lit(2.49), F.lit(4.98))) == 0.5
+    assert value(spark, measures.size_from_unit_price(F.lit(2.49), F.lit(4.98), F.lit("kg"))) == 0.5
     assert value(spark, measures.count_from_unit_price(F.lit(2.4), F.lit(0.2), 60, (6, 12))) == 12
     assert value(spark, measures.parse_price(F.lit("1.234,56 €"))) == 1234.56
     assert tuple(value(spark, measures.parse_shown_unit_price(F.lit("2,49 €/kg")))) == (2.49, "kg")
