@@ -30,30 +30,49 @@ CLOSES_P = BLOCKS - frozenset("body head html td th tr tbody thead tfoot caption
 IMPLIED = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")), "option": (("option",), ("select",)), "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)), "tfoot": (("thead", "tbody", "tr", "td", "th"), ("table",))}
 #: Blocks of running text; on their own they are template only where they stand outside the article.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot caption blockquote pre figcaption summary legend hr address".split())
-#: Words of class, id and role that mark what is not main text.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|sidebar|side-bar|aside|menu\w*|nav\w*|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|respond|reply|replies|discussion|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|popup|modal|overlay|widget|pagination|pager|toolbar|skip-link|navigation|complementary|contentinfo|dialog|form)(?:$|[\s_-])",
-    re.I,
+# Words of class, id and role that mark what is not main text; words that say a layout has such a part or
+# not; words for the box around such a part; what may follow of an article's own parts; and of an article element itself.
+MARKS = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|sidebar|aside|menu\w*|nav\w*|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|respond|reply|replies|discussion|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|popup|modal|overlay|widget|pagination|pager|toolbar|skip|complementary|contentinfo|dialog|form"
 )
+SAYS_ONLY = frozenset("has have with no not without hide hides hidden show shows".split())
+BOX_WORD = re.compile(r"\d[\dx]*|[a-z]|box|list|bar|block|container|wrapper|wrap|inner|outer|area|section|left|right|top|bottom|center|slot|unit|links?|items?|content|body|panel|group|row|col|column|buttons?|icons?|posts|articles|stories|text|title|main|primary|secondary|author|meta|date|thread|message|toggle|open|closed|fixed|sticky|small|large|desktop|mobile|cta|note|notes|media|label|this|card|cards|grid|strip|image|img|inline|feed|zone|space|holder|placement|count|actions?|tools|heading|thumb")
+OWN_HEADER = frozenset("article entry post story content section chapter".split())
+ARTICLE_MARKS = re.compile(r"comments?|reply|replies|respond|widget|teaser|related|promo\w*|ads?|advert\w*|sponsor\w*|sidebar|recommend\w*")
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|aria-label|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def is_mark(name: str, words: re.Pattern = MARKS) -> bool:
+    """Whether one class, id or role marks its element: a mark in it that only words for boxes follow.
+
+    "site-footer", "comment-list" and "ad-300x250" do. A layout that has or lacks a part ("has-sidebar", "no-comments") does
+    not, nor does a longer name that begins alike ("form-of-government"), nor the header of an article ("entry-header").
+    """
+    parts = [p for p in re.split(r"[-_]+", name.lower().replace("side-bar", "sidebar")) if p]
+    for i, part in enumerate(parts):
+        if words.fullmatch(part) and all(BOX_WORD.fullmatch(p) or words.fullmatch(p) for p in parts[i + 1 :]):
+            return not (i and (parts[i - 1] in SAYS_ONLY or (part == "header" and parts[i - 1] in OWN_HEADER)))
+    return False
+
+
 class Node:
-    """An element: its tag, whether it is boilerplate by rule, and its children (nodes and texts)."""
+    """An element: its tag, whether it is boilerplate by its element or attributes, by its names only, and its children."""
 
-    __slots__ = ("children", "marked", "tag")
+    __slots__ = ("children", "marked", "named", "tag")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.children, self.marked = tag, [], tag in UNSEEN
+        self.tag, self.children, self.named, self.marked = tag, [], False, tag in UNSEEN
         if attributes and not self.marked:
+            words = ARTICLE_MARKS if tag == "article" else MARKS
             for m in ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                if name == "hidden" or (name == "style" and HIDDEN.search(value)) or (name in ("class", "id", "role") and tag not in ("html", "body", "main", "article") and MARKED.search(value)):
-                    self.marked = True
-        if tag == "article" and attributes and (m := re.search(r"class\s*=\s*[\"']?([^\"'>]*)", attributes, re.I)) and re.search(r"comment|related|teaser|promo", m[1], re.I):
-            self.marked = True
+                if name == "hidden" or (name == "style" and HIDDEN.search(value)):
+                    self.marked, self.named = True, False
+                    return
+                if name in ("class", "id", "role") and tag not in ("html", "body", "main") and any(is_mark(v, words) for v in value.split()):
+                    self.marked = self.named = True
 
 
 def parse(html: str) -> Node:
@@ -121,30 +140,49 @@ def subtree_hashes(root: Node) -> dict[int, int]:
 
 
 def _content(root: Node) -> list[Node]:
-    """Where the main text is: the unmarked articles (or else main elements), or else the whole page."""
-    for tag in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            if node.marked:
-                continue
-            if node.tag == tag:
-                found.append(node)
-                continue
-            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
-        if found:
-            return found
+    """Where the main text is: the unmarked articles (or else main elements), or else the whole page; and top headings.
+
+    Where all of these stand inside elements that only their names mark, those names tell nothing and are passed. Top
+    headings (h1) outside the articles come along in page order, but for a page header's: the title of a page often
+    stands before its article. Where an article has a heading of its own, others are left out.
+    """
+    for passed in (False, True):
+        for tag in ("article", "main"):
+            found: list[Node] = []
+            todo = [(root, True, False)]
+            while todo:
+                node, titles, in_main = todo.pop()
+                if node.marked and not (passed and node.named and node.tag != "article"):
+                    continue
+                if node.tag == tag or (node.tag == "h1" and titles):
+                    found.append(node)
+                    continue
+                in_main = in_main or node.tag == "main"
+                titles = in_main or (titles and node.tag != "header")
+                todo += [(c, titles, in_main) for c in reversed(node.children) if isinstance(c, Node)]
+            bodies = [node for node in found if node.tag == tag]
+            if bodies:
+                return bodies if any(_holds(node, "h1") for node in bodies) else found
     return [root]
 
 
+def _holds(top: Node, tag: str) -> bool:
+    """Whether an unmarked element of that tag is below."""
+    todo = [top]
+    while todo:
+        node = todo.pop()
+        if node.tag == tag and node is not top:
+            return True
+        todo += [c for c in node.children if isinstance(c, Node) and not c.marked]
+    return False
+
+
 def text_blocks(root: Node) -> list[tuple[str, list[int], list[int]]]:
     """The blocks that no rule leaves out, in page order, white space inside as one space: text, and the hashes of the
     subtrees they are in that may be template: containers, and prose elements outside article and main."""
     blocks: list[tuple[str, list[int], list[int]]] = []
     parts: list[str] = []
     inside: list[tuple[int, bool]] = []
-    names = subtree_hashes(root)
-
     def flush() -> None:
         if block := " ".join(unescape("".join(parts)).split()):
             blocks.append((block, [h for h, prose in inside if not prose], [h for h, prose in inside if prose]))
@@ -152,6 +190,9 @@ def text_blocks(root: Node) -> list[tuple[str, list[int], list[int]]]:
 
     content = _content(root)
     whole = content == [root]
+    names = {at: h for top in content for at, h in subtree_hashes(top).items()}
+    # where there are several, an article or a title as a whole may be template, under the stricter share of prose
+    tops = {id(top) for top in content} if len(content) > 1 else set()
     todo: list = list(reversed(content))
     while todo:
         node = todo.pop()
@@ -168,8 +209,9 @@ def text_blocks(root: Node) -> list[tuple[str, list[int], list[int]]]:
                 flush()
         elif node.tag in BLOCKS:
             flush()
-            prose = node.tag in PROSE
-            named = id(node) in names and node.tag not in ("html", "body") and not (node in content or (prose and not whole))
+            top = id(node) in tops
+            prose = top or node.tag in PROSE
+            named = id(node) in names and (top or (node.tag not in ("html", "body") and node not in content[:1] and (whole or not prose)))
             if named:
                 inside.append((names[id(node)], prose))
             todo.append((named,))
@@ -217,7 +259,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     2. Subtrees are counted per host in pages of different text: copies and near copies of a page vote once, so what an
        article shares with its own copies is no template, however often it is copied.
     3. Blocks in a recurring subtree are deleted, inside articles too. There single paragraphs, headings and items are
-       no subtree of their own, as different articles may quote the same. A page all of whose blocks recur keeps them.
+       no subtree of their own, as different articles may quote the same; titles outside and articles as a whole go where
+       half of the pages have them. A page all of whose blocks recur has no text of its own.
 
     Null html gives an empty text; null and malformed urls are one host without name; repeated rows stay; other
     columns are ignored; empty table: empty. Returns page_id, url, text, n_chars.
@@ -245,6 +288,6 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     columns = made.select("row", "page_id", "url", "blocks", able.alias("able"))
     joined = columns.filter("able").join(listed, "row", "left").unionByName(columns.filter("not able").withColumn("template", F.lit(None).cast("array<bigint>")))
     own = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["subtrees"], F.col("template")), F.lit(False)))
-    text = F.array_join(F.when(F.size(own) > 0, own).otherwise(F.col("blocks"))["text"], "\n")
+    text = F.array_join(own["text"], "\n")
     out = joined.select("page_id", "url", text.alias("text"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -23,6 +23,27 @@ def test_rules_read_only_the_article():
     assert text_of(PAGE) == "A & B\none two three\nfour five\nsix\nseven"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="layout no-sidebar"><main><article><p>Body.', "Body."), ('<body class="x"><div class="has-sidebar"><article><p>Body.', "Body."), ('<div class="with-menu"><p>Body.', "Body."), ('<div class="page-content no-comments"><p>Body.', "Body."), ('<div class="sidebar-wrapper"><article><p>Body.', "Body."),
+        ("<main><h1>Title</h1><article><p>Body.", "Title\nBody."), ("<main><header><h1>Title</h1></header><article><p>Body.", "Title\nBody."), ("<header><h1>Site</h1></header><article><p>Body.", "Body."), ("<h1>Site</h1><article><h1>Title</h1><p>Body.", "Title\nBody."), ("<nav><h1>Menu</h1></nav><main><h1>T</h1><p>b", "T\nb"),
+        ('<article><div class="article-header"><h1>T</h1></div><div class="form-of-government"><p>King</p></div>', "T\nKing"), ('<article><p>a</p><article class="reply"><p>nice</p></article><article class="widget">x</article><article class="comment-body">y</article></article>', "a"),
+        ('<article class="post has-sidebar"><p>a</p><div id="comment-12">x</div><div class="ad-300x250">y</div><div class="site-footer">z</div><p role="banner">b</p><div class="cookie_notice">c</div>', "a"), ('<article><p>a</p></article><section class="comments"><article class="c1"><p>nice</p></article></section>', "a"), ('<div class="side-bar">x</div><div class="social-history">y</div>', "y"),
+    ],
+)
+def test_names_mark_parts_and_not_layouts(page, text):
+    assert text_of(page) == text
+
+
+def test_pages_of_template_only_are_empty_and_titles_depend_on_the_count(spark):
+    words = lambda i: " ".join(f"w{(i * 7919 + j * 104729) % 9973}" for j in range(30))
+    rows = [(i, "http://a.example/x", f"<h1>The Site</h1><article><p>{words(i)}</p></article><article><p>Get our app</p></article>") for i in range(12)] + [(20, "http://b.example/x", "<h1>The Site</h1><article><p>alone</p></article>")]
+    rows += [(30, "http://a.example/y", "<h1>The Site</h1><article><p>Get our app</p></article>")]
+    out = extracted(spark, rows)
+    assert all(out[i].text == words(i) for i in range(12)) and out[20].text == "The Site\nalone" and (out[30].text, out[30].n_chars) == ("", 0)
+
+
 @pytest.mark.parametrize(("page", "text"), [('<div class="x>secret</div>', "secret"), ("<p>a<b", "a"), ("<p>1 < 2</p>", "1 < 2"), ("<div title='a>b'>c</div>", "c"), ("<p>a</p></p></div>b", "a\nb"), ("", "")])
 def test_broken_markup(page, text):
     assert text_of(page) == text
