@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.text import plain
 
+
 def top_kind(path: Column, store: Column, kinds: DataFrame) -> tuple[DataFrame, list[Column]]:
     """The table of decided top sections ready for a left join, and the conditions: same store, same accent-free top key."""
     table = kinds.select(F.col("store").alias("_ks"), plain(F.trim("section")).alias("_kt"), F.col("kind").alias("_kind")).distinct()
