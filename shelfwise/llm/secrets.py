@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,11 +30,16 @@ CANDIDATE = re.compile(r"(?![0-9]+(?![A-Za-z0-9+/_-]))[A-Za-z0-9+/_-]{16,}")
 #: The training sample of ordinary words: of so many documents, so many words each.
 SAMPLE_DOCS = 2000
 SAMPLE_WORDS = 60
+#: Longest word that is collected of the sample.
+WORD_CHARS = 200
 #: Weight of a shorter context in the chains, in characters seen; share of labelled ordinary identifiers that may score
-#: above the threshold; and what is added to it, as masking a word does more harm than missing a short key.
+#: above the thresholds; least log-likelihood ratio per character; and what is added to a threshold.
 MIXING = 100
 FALSE_ALARMS = 0.001
-MARGIN = 0.4
+LEAST_RATIO = 0.8
+MARGIN = 0.2
+#: Thresholds are taken by length: from each of these on.
+LENGTHS = (16, 20, 28)
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 INDEX = {c: i for i, c in enumerate(ALPHABET)}
@@ -55,21 +62,30 @@ track train transfer tree type union unit update upload user value vector vendor
 work worker world write year""".split()
 
 
-def labelled_samples(seed: int = 11, n: int = 16000, words: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
-    """n random strings (hexadecimal, letters, base 62, base 64) and as many ordinary identifiers: words in the usual
-    spellings and runs of words. With words of a corpus, half of the identifiers are made of those."""
+#: Kinds of random strings, by the characters that they draw from.
+POOLS = {
+    "hex": "0123456789abcdef", "base62": ALPHABET[:62], "base64": ALPHABET[:64], "upper and digits": ALPHABET[26:62], "lower and digits": ALPHABET[:26] + ALPHABET[52:62], "letters": ALPHABET[:52], "lower": ALPHABET[:26], "upper": ALPHABET[26:52],
+}
+
+
+def labelled_samples(seed: int = 11, n: int = 40000, words: tuple[str, ...] = ()) -> tuple[dict[str, list[str]], list[str]]:
+    """Random strings by kind, n together, and n ordinary identifiers: words in the usual spellings and runs of words.
+    With words of a corpus, half of the identifiers are made of those."""
     rng = random.Random(seed)
-    lower, upper, digits = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
-    pools = (digits + "abcdef", lower + upper + digits, ALPHABET[:64], upper + digits, lower + digits, lower + upper, lower, upper)
-    positive = ["".join(rng.choices(rng.choice(pools), k=rng.randint(16, 64))) for _ in range(n)]
+    positive = {kind: ["".join(rng.choices(pool, k=rng.randint(16, 64))) for _ in range(n // len(POOLS))] for kind, pool in POOLS.items()}
     negative = []
     for i in range(n):
-        some = rng.choices(words if words and i % 2 else ORDINARY, k=rng.randint(2, 7))
+        # as many words as reach a length, so that all lengths have their share; one long word may do
+        vocabulary, length, some = words if words and i % 2 else ORDINARY, rng.randint(8, 56), []
+        while sum(map(len, some)) < length:
+            some.append(rng.choice(vocabulary))
         style, number = rng.randrange(6), str(rng.choice((rng.randrange(10), rng.randrange(1000), rng.randint(1990, 2040), rng.randrange(10**6))))
         word = "_".join(some) if style == 0 else "-".join(some) if style == 1 else "/".join(some) if style == 2 else "".join(w.title() for w in some) if style == 3 else "_".join(some).upper() if style == 4 else rng.choice(("".join(some), "".join(some).upper()))
         sep = rng.choice(("", "_", "-", "/"))
         negative.append(rng.choice((word + sep + number, number + sep + word, word, word, word + sep + number + sep + rng.choice(ORDINARY))))
-    return positive, [s for s in negative if len(s) >= 8]
+    mixed = [s for s in negative if len(s) >= 8]
+    rng.shuffle(mixed)  # halves of it are alike
+    return positive, mixed
 
 
 def _codes(s: str) -> np.ndarray:
@@ -77,8 +93,9 @@ def _codes(s: str) -> np.ndarray:
     return codes[codes >= 0]
 
 
-def _markov(samples: list[str]) -> np.ndarray:
-    """Log-probabilities of a character after the two before it, mixed with those of shorter contexts; the last code is the start."""
+def _markov(samples: list[str], order: int) -> np.ndarray:
+    """Log-probabilities of a character after the one or two before it, mixed with those of shorter contexts; the last
+    code is the start."""
     k = len(ALPHABET)
     counts = np.zeros((k + 1, k + 1, k))
     for s in samples:
@@ -88,25 +105,44 @@ def _markov(samples: list[str]) -> np.ndarray:
     one /= one.sum()
     pairs = counts.sum(axis=0)
     two = (pairs + MIXING * one) / (pairs.sum(axis=1, keepdims=True) + MIXING)
-    three = (counts + MIXING * two[None]) / (counts.sum(axis=2, keepdims=True) + MIXING)
-    return np.log(three).astype(np.float32)
+    if order == 1:
+        return np.log(two).astype(np.float32)
+    return np.log((counts + MIXING * two[None]) / (counts.sum(axis=2, keepdims=True) + MIXING)).astype(np.float32)
 
 
 class RandomnessModel:
-    """Log-likelihood ratio of the two second-order chains, and the threshold that labelled samples ask for."""
+    """A chain for each kind of random strings against one of ordinary identifiers, and the thresholds that labelled samples ask for.
 
-    def __init__(self, positive: list[str], negative: list[str], false_alarms: float = FALSE_ALARMS):
-        self.ratio = _markov(positive[::2]) - _markov(negative[::2])
-        held = sorted(self.score(s) for s in negative[1::2] if CANDIDATE.fullmatch(s))
-        self.threshold = MARGIN + max(0.0, held[int((len(held) - 1) * (1 - false_alarms))] if held else 0.0)
+    A string is held against the kind that explains it best. Each kind and length has a threshold of its own, so that
+    what few identifiers look like (hexadecimal) need not pass what other kinds must. Half of the identifiers train the
+    chain, the other half gives the thresholds.
+    """
 
-    def score(self, s: str) -> float:
-        """Mean log-likelihood ratio of a string's characters; positive: more like a random one."""
+    def __init__(self, positive: dict[str, list[str]], negative: list[str], false_alarms: float = FALSE_ALARMS):
+        self.random = np.stack([_markov(samples, 1) for samples in positive.values()])
+        self.ordinary = _markov(negative[::2], 2)
+        held = [(len(s), *self.ratio(s)) for s in negative[1::2] if CANDIDATE.fullmatch(s)]
+        self.thresholds = np.full((len(LENGTHS), len(positive)), LEAST_RATIO)
+        for i, (least, most) in enumerate(zip(LENGTHS, (*LENGTHS[1:], float("inf")), strict=True)):
+            alike = [(kind, ratio) for length, kind, ratio in held if least <= length < most]
+            allowed = int(false_alarms * len(alike) / len(positive))
+            for k in range(len(positive)):
+                scores = sorted((ratio for kind, ratio in alike if kind == k), reverse=True)
+                if len(scores) > allowed:
+                    self.thresholds[i, k] = max(LEAST_RATIO, scores[allowed] + MARGIN)
+
+    def ratio(self, s: str) -> tuple[int, float]:
+        """The kind of random strings that fits best, and the mean log-likelihood ratio of the string's characters."""
         c = np.concatenate(([len(ALPHABET)] * 2, _codes(s)))
-        return float(self.ratio[c[:-2], c[1:-1], c[2:]].mean()) if len(c) > 2 else -np.inf
+        if len(c) == 2:
+            return 0, -np.inf
+        fits = self.random[:, c[1:-1], c[2:]].sum(axis=1)
+        k = int(fits.argmax())
+        return k, float(fits[k] - self.ordinary[c[:-2], c[1:-1], c[2:]].sum()) / (len(c) - 2)
 
     def __call__(self, s: str) -> bool:
-        return self.score(s) > self.threshold
+        k, ratio = self.ratio(s)
+        return ratio > self.thresholds[max(0, bisect_right(LENGTHS, len(s)) - 1), k]
 
 
 @lru_cache(1)
@@ -117,13 +153,17 @@ def default_model() -> RandomnessModel:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> RandomnessModel:
     """The model with words of the corpus among its ordinary identifiers: sample_words consecutive words of each of the
     sample_docs documents that come first in hash order, none of them held out. Words that a pattern finds or that hold
-    a digit are left out. An empty corpus gives the default model."""
+    a digit are left out, and so are long ones that only one of the documents has. An empty corpus gives the default model."""
     rows = pick(docs, doc_id=id_col, text=text_col).filter(F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     words = F.split("text", SPACE_RUN)
     at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.size("words") - sample_words, F.lit(0)) + 1) + 1
     chosen = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id").distinct().orderBy("h", "doc_id").limit(sample_docs)
-    got = rows.join(chosen.select("doc_id"), "doc_id", "left_semi").select("doc_id", words.alias("words")).select(F.slice("words", at.cast("int"), sample_words).alias("words")).collect()
-    plain = {p for r in got for w in r.words for p in re.findall(r"[A-Za-z]+", w) if 3 <= len(p) <= 40 and not re.search("[0-9]", w)}
+    drawn = rows.join(chosen.select("doc_id"), "doc_id", "left_semi").select("doc_id", words.alias("words")).select(F.transform(F.slice("words", at.cast("int"), sample_words), lambda w: F.left(w, F.lit(WORD_CHARS))).alias("words"))
+    # an id may have several rows: as many as ids are enough, in an order of their own
+    got = drawn.orderBy(F.xxhash64("words"), "words").limit(sample_docs).collect()
+    parts = [{p for w in r.words for p in re.findall(r"[A-Za-z]+", w) if 3 <= len(p) <= 40 and not re.search("[0-9]", w)} for r in got]
+    seen = Counter(p for some in parts for p in some)
+    plain = {p for p, n in seen.items() if n > 1 or len(p) < LENGTHS[0]}  # a long one in one document only may be a key
     return RandomnessModel(*labelled_samples(words=tuple(sorted(plain)))) if plain else default_model()
 
 
