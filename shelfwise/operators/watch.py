@@ -83,10 +83,18 @@ def report_problem(kind: Column, group: Column, store: Column, reason: Column, c
 def moved_with(changes: DataFrame, dates: DataFrame, key: str, changed: str, moved: str, nights: int = 1) -> DataFrame:
     """Changes with `signalled`: whether the key's date moved on the same day or at most so many nights later.
 
-    Dates are dealt to each day they can serve, so the interval join is an equi-join.
+    Days fall into stretches of nights + 1, so the dates that can serve a change are in its own stretch, on its day or
+    later, or in the next one, early enough: the latest of the one and the earliest of the other decide. A key has at
+    most two rows a stretch, whatever its dates and nights, and meets its changes in an equi-join.
     """
-    reach = dates.select(key, F.explode(F.sequence(F.date_sub(F.col(moved), nights), F.col(moved))).alias(changed)).distinct().withColumn("signalled", F.lit(True))
-    return changes.join(reach, [key, changed], "left").withColumn("signalled", F.coalesce("signalled", F.lit(False)))
+    stretch = lambda day: F.floor(F.unix_date(F.col(day).cast("date")) / (nights + 1))
+    at, none = stretch(moved), F.lit(None).cast("date")
+    own = F.struct(at.alias("_stretch"), F.col(moved).cast("date").alias("_here"), none.alias("_next"))
+    served = F.struct((at - 1).alias("_stretch"), none.alias("_here"), F.col(moved).cast("date").alias("_next"))
+    reach = dates.filter(F.col(moved).isNotNull()).select(key, F.explode(F.array(own, served)).alias("_s")).groupBy(key, "_s._stretch").agg(F.max("_s._here").alias("_here"), F.min("_s._next").alias("_next"))
+    joined = changes.withColumn("_stretch", stretch(changed)).join(reach, [key, "_stretch"], "left")
+    with_it = (F.col("_here") >= F.col(changed)) | (F.col("_next") <= F.date_add(F.col(changed), nights))
+    return joined.withColumn("signalled", F.coalesce(with_it, F.lit(False))).select(key, changed, *(c for c in changes.columns if c not in (key, changed)), "signalled")
 
 
 def logs_to_prune(name: Column, modified: Column, now: Column, kept: str, days: int = LOG_DAYS) -> Column:
