@@ -158,9 +158,10 @@ def unusual_usage(days: DataFrame, day: str, value: str, factor: float = 2.0, le
 def limiter(events: DataFrame, key: str, at: str, tie: str, per_window: int, seconds: int, per_day: int) -> DataFrame:
     """Which events a sliding limit lets through: at most per_window earlier ones of the key within so many seconds, and a daily total.
 
-    Counts attempts; see streaming.limiter for the form that counts admitted events only.
+    Counts attempts; see streaming.limiter for the form that counts admitted events only. Times count to the nearest
+    second, a half to the even one.
     """
-    ts = F.unix_timestamp(F.col(at).cast("timestamp"))
+    ts = F.rint(F.unix_micros(F.col(at).cast("timestamp")) / 1e6).cast("long")
     w = Window.partitionBy(key).orderBy("_s").rangeBetween(-seconds + 1, Window.currentRow)
     day = Window.partitionBy("_day").orderBy("_s", tie).rowsBetween(Window.unboundedPreceding, -1)
     out = events.withColumn("_s", ts).withColumn("_day", F.to_date(at)).withColumn("recent", F.count("*").over(w)).withColumn("_today", F.count("*").over(day))

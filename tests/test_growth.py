@@ -1,7 +1,10 @@
 """Steps whose rows grow no faster than their input, and results at the edges that larger tables reach."""
 
 
-from shelfwise.operators import watch
+from pyspark.sql import functions as F
+
+from shelfwise.functions import text
+from shelfwise.operators import classifier, quality, watch
 
 
 def rows(df):
@@ -24,3 +27,18 @@ def test_moved_dates_are_not_dealt_to_every_night(spark):
         want = [(k, i, any(k is not None and k == m and day and at and day <= at <= day + timedelta(nights) for m, at in moved)) for k, day, i in changes]
         assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select("k", "id", "signalled").collect())
         assert "sequence(" not in plan(got)
+
+
+def test_limits_count_times_to_the_nearest_second(spark):
+    at = ["00:00:00.6", "00:00:10.4", "00:00:20.5", "00:00:21.5"]
+    events = spark.createDataFrame([(1, i, f"2024-01-01 {x}") for i, x in enumerate(at)], "k long, id long, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    # seconds 1, 10, 20 and 22: ten seconds back from 10 hold the first, from 20 not the second
+    assert rows(quality.limiter(events, "k", "t", "id", 1, 10, 9).select("id", "recent", "allowed")) == [(0, 1, True), (1, 2, False), (2, 1, True), (3, 2, False)]
+
+
+def test_words_end_where_letters_without_a_base_letter_begin(spark):
+    items = spark.createDataFrame([(1, "k", "c", "undßtz", ""), (2, "k", "c", "rund", ""), (3, "k", "c", "x", "ß und"), (4, "k", "c", "a\rb", "")], "id long, kind string, category string, name string, path string")
+    none = (None, None, None)
+    table = spark.createDataFrame([(1, "u", r"\bund\b", None, r"\bund\b", *none), (2, "dot", "a.b", None, None, *none)], "order int, label string, match string, unless string, shelf string, kinds array<string>, not_kinds array<string>, categories array<string>")
+    assert rows(classifier.label_sets(items, table)) == [(1, ["u"]), (2, []), (3, ["u"]), (4, ["dot"])]
+    assert spark.range(1).select(text.normalize_name(F.lit("ß5 kgß vinho"))).head()[0] == "vinho"
