@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.functions import text
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -29,9 +31,9 @@ def _holds(rule: Rule, name: Column, kind: Column | None, head: Column | None) -
     if rule.heads:
         ok = ok & (head if head is not None else F.split(name, " ")[0]).isin(list(rule.heads))
     if rule.require:
-        ok = ok & name.rlike(rule.require)
+        ok = ok & text.matches(name, rule.require)
     if rule.exclude:
-        ok = ok & ~name.rlike(rule.exclude)
+        ok = ok & ~text.matches(name, rule.exclude)
     if rule.kinds and kind is not None:
         ok = ok & kind.isin(list(rule.kinds))
     return F.coalesce(ok, F.lit(False))
@@ -60,7 +62,7 @@ def match_heads(items: DataFrame, rules: DataFrame, item: str, tokens: str, name
     met = words.join(heads, "_head").groupBy(item).agg(F.sort_array(F.collect_set("r")).alias("_rules"))
     # names join once an item, not once a word; rules after the first that holds are not tried
     named = met.join(items.select(item, F.col(name).alias("_name")), item)
-    holds = lambda r: F.coalesce(F.rlike(F.col("_name"), r["require"]), F.lit(True)) & ~F.coalesce(F.rlike(F.col("_name"), r["exclude"]), F.lit(False))
+    holds = lambda r: F.coalesce(text.matches(F.col("_name"), r["require"]), F.lit(True)) & ~F.coalesce(text.matches(F.col("_name"), r["exclude"]), F.lit(False))
     first = F.aggregate("_rules", F.lit(None).cast("string"), lambda found, r: F.when(found.isNotNull(), found).when(holds(r), r["rule"]))
     return named.select(item, first.alias("rule")).filter("rule is not null")
 
