@@ -4,7 +4,7 @@
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text
-from shelfwise.operators import classifier, quality, watch
+from shelfwise.operators import classifier, quality, resolve, watch
 
 
 def rows(df):
@@ -42,3 +42,31 @@ def test_words_end_where_letters_without_a_base_letter_begin(spark):
     table = spark.createDataFrame([(1, "u", r"\bund\b", None, r"\bund\b", *none), (2, "dot", "a.b", None, None, *none)], "order int, label string, match string, unless string, shelf string, kinds array<string>, not_kinds array<string>, categories array<string>")
     assert rows(classifier.label_sets(items, table)) == [(1, ["u"]), (2, []), (3, ["u"]), (4, ["dot"])]
     assert spark.range(1).select(text.normalize_name(F.lit("ß5 kgß vinho"))).head()[0] == "vinho"
+
+
+def test_copies_are_met_once_a_class(spark):
+    # 3,000 copies in one brand: item by item 3,000,000 pairs met; here a class with five ids a store
+    frame = spark.range(3000).select("id", F.concat(F.lit("s"), F.col("id") % 3).alias("store"), F.lit("b").alias("brand"), F.array(F.lit("a"), F.lit("c")).alias("tokens"))
+    pairs = resolve.candidate_pairs(frame)
+    got = pairs.selectExpr("count(*)", "min(score)", "count_if(a >= 15)", "count(distinct b)").head()
+    assert tuple(got) == (29925, 1.0, 0, 2999)
+    met = _join_rows(pairs)
+    assert met and max(met) <= 30000
+
+
+def _join_rows(df):
+    """Rows out of every join of the executed plan."""
+    execution = df._jdf.queryExecution()
+    execution.executedPlan().execute().count()
+    out, todo = [], [execution.executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        else:
+            if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+                out.append(node.metrics().apply("numOutputRows").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
