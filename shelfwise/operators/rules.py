@@ -58,11 +58,11 @@ def match_heads(items: DataFrame, rules: DataFrame, item: str, tokens: str, name
     For tables of any length: heads meet tokens in an equi-join; only then are patterns tried.
     """
     words = items.select(item, F.explode(F.array_distinct(tokens)).alias("_head"))
-    heads = rules.select(F.explode("heads").alias("_head"), F.struct("order", F.col("id").alias("rule"), "require", "exclude").alias("r"))
+    heads = rules.select(F.explode("heads").alias("_head"), F.struct("order", F.col("id").alias("rule"), text.ascii_patterns("require").alias("require"), text.ascii_patterns("exclude").alias("exclude")).alias("r"))
     met = words.join(heads, "_head").groupBy(item).agg(F.sort_array(F.collect_set("r")).alias("_rules"))
     # names join once an item, not once a word; rules after the first that holds are not tried
     named = met.join(items.select(item, F.col(name).alias("_name")), item)
-    holds = lambda r: F.coalesce(text.matches(F.col("_name"), r["require"]), F.lit(True)) & ~F.coalesce(text.matches(F.col("_name"), r["exclude"]), F.lit(False))
+    holds = lambda r: F.coalesce(F.rlike(F.col("_name"), r["require"]), F.lit(True)) & ~F.coalesce(F.rlike(F.col("_name"), r["exclude"]), F.lit(False))
     first = F.aggregate("_rules", F.lit(None).cast("string"), lambda found, r: F.when(found.isNotNull(), found).when(holds(r), r["rule"]))
     return named.select(item, first.alias("rule")).filter("rule is not null")
 

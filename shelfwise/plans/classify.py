@@ -18,17 +18,21 @@ PATTERNS = classifier.Patterns(
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Every line of every document as an item, with a path of two shelves made of its own words."""
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "name"))
+    """Every line of every document as an item, with a path of two shelves made of its own words, its plain name and words.
+
+    Documents are dealt to all tasks first, as a file may be one task's; lines are written once, as tables of rules are
+    made of their words before they meet them.
+    """
+    lines = table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "name"))
     w = lambda k: F.coalesce(F.get(F.split("name", " "), F.lit(k)), F.lit(""))
     item = F.col("doc_id") * 1000000 + F.col("i")
     path = F.concat(w(1), F.when(F.col("i") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" e "), w(2))), F.when(F.col("i") % 9 == 0, F.lit(" outros")).otherwise(F.lit("")), F.lit(" / "), w(3), F.when(F.col("i") % 2 == 0, F.concat(F.lit(" "), w(4))).otherwise(F.lit("")))
-    return lines.select(item.alias("item"), "name", path.alias("path"))
+    return resolve.checkpoint(lines.select(item.alias("item"), "name", path.alias("path"), text.plain(F.col("name")).alias("plain"), classifier.name_words(F.col("name")).alias("words")))
 
 
 def _hashed_words(lines: DataFrame) -> DataFrame:
     """Words of three to five letters with a number by hash, from which the rule tables are made."""
-    words = lines.select(F.explode(classifier.name_words(F.col("name"))).alias("word")).distinct().filter(F.length("word").between(3, 5))
+    words = lines.select(F.explode("words").alias("word")).distinct().filter(F.length("word").between(3, 5))
     return resolve.checkpoint(words.withColumn("h", F.conv(F.substring(F.md5("word"), 1, 4), 16, 10).cast("int")))
 
 
@@ -114,12 +118,9 @@ def kinds_explained(spark: SparkSession, sf: str) -> DataFrame:
     return classifier.explain_kinds(lines, _kinds(words), _roles(words), "item", patterns=PATTERNS)
 
 
-def _decided(spark: SparkSession, sf: str) -> DataFrame:
+def _decided(lines: DataFrame, kinds: DataFrame) -> DataFrame:
     """Lines with the kind of the first rule that claims one of their words, by the joined table."""
-    lines = _lines(spark, sf)
-    tables = _kinds(_hashed_words(lines)).withColumnRenamed("kind", "id")
-    named = lines.select("item", text.plain(F.col("name")).alias("plain"), classifier.name_words(F.col("name")).alias("words"))
-    first = rules.match_heads(named, tables, "item", "words", "plain")
+    first = rules.match_heads(lines, kinds.withColumnRenamed("kind", "id"), "item", "words", "plain")
     return lines.join(first.withColumnRenamed("rule", "kind"), "item", "left").withColumn("category", F.substring("kind", 1, 2))
 
 
@@ -130,12 +131,13 @@ first as (select item, arg_min(kind, (ord, kind)) as kind from w join kinds k on
 @query(f"with {_FIRST} select item, kind as rule from first")
 def head_matches(spark: SparkSession, sf: str) -> DataFrame:
     """K2: the first rule that claims any word of a line, by equi-join with a table of about 2,000 rules."""
-    return _decided(spark, sf).filter("kind is not null").select("item", F.col("kind").alias("rule"))
+    lines = _lines(spark, sf)
+    return _decided(lines, _kinds(_hashed_words(lines))).filter("kind is not null").select("item", F.col("kind").alias("rule"))
 
 
-def _sub_kind_rules(spark: SparkSession, sf: str) -> DataFrame:
+def _sub_kind_rules(kinds: DataFrame) -> DataFrame:
     """Three ordered rules for each kind."""
-    kinds = _kinds(_hashed_words(_lines(spark, sf))).select("kind").distinct()
+    kinds = kinds.select("kind").distinct()
     n = F.conv(F.substring(F.md5("kind"), 1, 4), 16, 10).cast("int") + F.col("order") * 5
     return kinds.select("kind", F.explode(F.array(*(F.lit(k) for k in range(3)))).alias("order")).select("kind", "order", F.concat("kind", F.lit("-"), F.col("order").cast("string")).alias("sub_kind"), F.concat(F.char(n % 26 + 97), F.char(F.floor(n / 26) % 13 + 97)).alias("match"))
 
@@ -146,8 +148,10 @@ _SUB = f"""{_FIRST}, subs as (select kind, o, kind || '-' || o as sub_kind, {_LE
 @query(f"with {_SUB}, m as (select f.item, arg_min(sub_kind, o) as sub_kind from first f join base b on f.item = b.item join subs s on f.kind = s.kind where regexp_matches(b.plain, match) group by 1) select b.item, f.kind, m.sub_kind from base b left join first f on b.item = f.item left join m on b.item = m.item")
 def sub_kinds_found(spark: SparkSession, sf: str) -> DataFrame:
     """K4: the first sub-kind rule of an item's kind that its name matches; null where none does or the item has no kind."""
-    lines = _decided(spark, sf)
-    return lines.select("item", "kind").join(classifier.sub_kinds(lines, _sub_kind_rules(spark, sf), "item"), "item")
+    lines = _lines(spark, sf)
+    kinds = _kinds(_hashed_words(lines))
+    decided = resolve.checkpoint(_decided(lines, kinds))
+    return decided.select("item", "kind").join(classifier.sub_kinds(decided, _sub_kind_rules(kinds), "item"), "item")
 
 
 def _label_rules(spark: SparkSession) -> DataFrame:
@@ -170,7 +174,8 @@ _LABEL_ROWS = """lr(ord, label, match, unl, shelf, kinds, not_kinds, categories)
   a as (select item, list(label order by ord) as labels from m group by 1) select b.item, coalesce(labels, []) as labels from base b left join a on b.item = a.item""")
 def labels_found(spark: SparkSession, sf: str) -> DataFrame:
     """K5: every label whose gates an item passes, in the order of the table."""
-    return classifier.label_sets(_decided(spark, sf), _label_rules(spark), "item")
+    lines = _lines(spark, sf)
+    return classifier.label_sets(resolve.checkpoint(_decided(lines, _kinds(_hashed_words(lines)))), _label_rules(spark), "item")
 
 
 @query(f"""with {_SUB}, m as (select f.item, arg_min(sub_kind, o) as sub_kind from first f join base b on f.item = b.item join subs s on f.kind = s.kind where regexp_matches(b.plain, match) group by 1),
@@ -180,6 +185,6 @@ def labels_found(spark: SparkSession, sf: str) -> DataFrame:
   select * from d where len(changed) > 0""")
 def assignments_changed(spark: SparkSession, sf: str) -> DataFrame:
     """K6: what today's decision changes in stored kinds, values cleared to nothing and items without a stored row included."""
-    now = sub_kinds_found(spark, sf)
+    now = resolve.checkpoint(sub_kinds_found(spark, sf))
     stored = now.filter("item % 5 > 0").withColumn("kind", F.when(F.col("item") % 4 == 0, None).when(F.col("item") % 4 == 1, "gone").otherwise(F.col("kind")))
     return classifier.assignment_changes(stored, now, "item", ("kind", "sub_kind"))
