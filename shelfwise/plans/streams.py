@@ -14,25 +14,29 @@ from shelfwise.streaming import sink, states
 
 
 def _arriving(rows: DataFrame, order: list[str], files: int, last: DataFrame | None = None) -> DataFrame:
-    """A stream of a table's rows that arrives in files, in that order (and then the rows of last), one file a batch.
+    """A stream of a table's rows that arrives in so many batches, in that order (and then the rows of last).
 
-    Every file is written on its own, as a source reads files by their time.
+    Every batch is written on its own, as a source reads files by their time, and as equally many files, as a batch is a
+    number of files: many, so that no task writes or reads a whole batch; empty ones make up what a batch has fewer.
     """
     spark = rows.sparkSession
     folder = f"{resolve.shared_folder(spark)}/arriving-{uuid.uuid4().hex}"
     held = resolve.checkpoint(rows)
     cuts = held.selectExpr(f"approx_percentile({order[0]}, array({', '.join(str(k / files) for k in range(1, files))})) as c").first().c if files > 1 else []
-    at = F.col(order[0])
+    at, each = F.col(order[0]), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for k in range(files):
         part = held
         if k:
             part = part.filter(at > cuts[k - 1])
         if k < files - 1:
             part = part.filter(at <= cuts[k])
-        part.coalesce(1).write.mode("append").parquet(folder)
+        path = f"{folder}/batch={k}"
+        part.repartition(each).write.parquet(path)
+        for _ in range(each - len(spark.read.schema(held.schema).parquet(path).inputFiles())):
+            held.limit(0).coalesce(1).write.mode("append").parquet(path)
     if last is not None:
-        last.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(held.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        last.coalesce(1).write.parquet(f"{folder}/batch={files}")
+    return spark.readStream.schema(held.schema).option("maxFilesPerTrigger", each).parquet(f"{folder}/*")
 
 
 def _new_folder(spark: SparkSession, name: str) -> str:

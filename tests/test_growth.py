@@ -70,3 +70,14 @@ def _join_rows(df):
                 out.append(node.metrics().apply("numOutputRows").value())
             todo += [node.children().apply(i) for i in range(node.children().size())]
     return out
+
+
+def test_a_batch_arrives_in_many_files(spark):
+    from shelfwise.plans import streams
+
+    got = []
+    stream = streams._arriving(spark.range(400).withColumnRenamed("id", "at"), ["at"], 2, spark.range(1).selectExpr("1000L as at"))
+    query = stream.withColumn("f", F.input_file_name()).writeStream.foreachBatch(lambda b, _: got.append((b.select("f").distinct().count(), b.selectExpr("min(at)").head()[0], b.count()))).option("checkpointLocation", streams._new_folder(spark, "offsets")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [n for _, _, n in got] == [200, 200, 1] and [m for _, m, _ in got] == [0, 200, 1000]
+    assert got[0][0] > 1
