@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfwise.functions.measures import same_weight
+from shelfwise.functions.measures import bound, same_weight
 from shelfwise.functions.text import plain
 
 # How names and labels write two weights. Names are plain (no accents, lower case) when they are read.
@@ -24,11 +24,6 @@ CLEARLY = 1.03
 WEIGHTS = "struct<full: double, drained: double>"
 
 
-def _bound(value: Column, read) -> Column:
-    """read(value) with the value made once, however often it is read."""
-    return F.get(F.transform(F.array(value), read), 0)
-
-
 def _number(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
 
@@ -69,7 +64,7 @@ def name_weights(name: Column) -> Column:
         full, drained = (p["n"] * _kg(f(p["a"], p["b"]), p["unit"]) for f in (F.greatest, F.least))
         return F.when((drained > 0) & (drained < full), _pair(full, drained))
 
-    return _bound(_bound(plain(name), read), weigh)
+    return bound(bound(plain(name), read), weigh)
 
 
 def label_weights(label: Column) -> Column:
@@ -80,18 +75,19 @@ def label_weights(label: Column) -> Column:
 
     def read(text: Column) -> Column:
         at = lambda pattern, i: F.regexp_extract(text, pattern, i)
-        count = _count(at(PACK_LABEL, 1))
-        full = count * _kg(_number(at(PACK_LABEL, 2)), at(PACK_LABEL, 3))
-        drained = F.coalesce(at(NET_LABEL, 1).try_cast("double"), count) * _kg(_number(at(NET_LABEL, 2)), at(NET_LABEL, 3))
+        found = F.struct(_count(at(PACK_LABEL, 1)).alias("count"), _kg(_number(at(PACK_LABEL, 2)), at(PACK_LABEL, 3)).alias("full"), at(NET_LABEL, 1).try_cast("double").alias("net_count"), _kg(_number(at(NET_LABEL, 2)), at(NET_LABEL, 3)).alias("net"))
+        return bound(found, lambda f: F.struct((f["count"] * f["full"]).alias("full"), (F.coalesce(f["net_count"], f["count"]) * f["net"]).alias("drained")))
+
+    def weigh(p: Column) -> Column:
+        full, drained = p["full"], p["drained"]
         return F.when((full > 0) & (drained > 0) & (drained <= full * 1.001), _pair(full, drained))
 
-    return _bound(F.lower(label), read)
+    return bound(bound(F.lower(label), read), weigh)
 
 
 def _drained_in(block: Column) -> Column:
     at = lambda i: F.regexp_extract(block, DRAINED_BLOCK, i)
-    weight = _kg(_number(at(1)), at(2))
-    return F.when(weight >= LEAST, weight)
+    return bound(_kg(_number(at(1)), at(2)), lambda weight: F.when(weight >= LEAST, weight))
 
 
 def block_weights(size_line: Column, drained_block: Column) -> Column:
@@ -103,14 +99,16 @@ def block_weights(size_line: Column, drained_block: Column) -> Column:
 
     def read(p: Column) -> Column:
         at = lambda i: F.regexp_extract(p["line"], SIZE_LINE, i)
-        count = _count(at(1))
-        total = count * _kg(_number(at(2)), at(3))
-        each = p["each"]
+        return F.struct(_count(at(1)).alias("count"), _kg(_number(at(2)), at(3)).alias("line"), p["each"].alias("each"))
+
+    def weigh(p: Column) -> Column:
+        count, each = p["count"], p["each"]
+        total = count * p["line"]
         drained = F.when((count > 1) & F.coalesce(each * count <= total * CLEARLY, F.lit(False)), each * count).otherwise(each)
         return F.when(each.isNotNull(), _pair(F.when(total >= drained * CLEARLY, total), drained))
 
     each = _drained_in(F.lower(F.trim(drained_block)))
-    return _bound(F.struct(F.lower(F.trim(F.coalesce(size_line, F.lit("")))).alias("line"), each.alias("each")), read)
+    return bound(bound(F.struct(F.lower(F.trim(F.coalesce(size_line, F.lit("")))).alias("line"), each.alias("each")), read), weigh)
 
 
 def listed_weights(named: Column, drained_text: Column) -> Column:
@@ -118,8 +116,9 @@ def listed_weights(named: Column, drained_text: Column) -> Column:
 
     named: parse_size() of the name.
     """
-    return _bound(
-        F.struct(_drained_in(F.lower(F.trim(drained_text))).alias("drained"), F.when(named["unit"] == "kg", named["total"]).alias("named")),
+    in_kg = bound(named, lambda n: F.when(n["unit"] == "kg", n["total"]))
+    return bound(
+        F.struct(_drained_in(F.lower(F.trim(drained_text))).alias("drained"), in_kg.alias("named")),
         lambda p: F.when(p["drained"].isNotNull(), _pair(F.when(p["named"] >= p["drained"] * CLEARLY, p["named"]), p["drained"])),
     )
 

@@ -56,7 +56,9 @@ told as (select p_partkey, p_brand, w / 1000 as size, case when nd > 0 and nd <
 @query(f"with {_PARTS} select * exclude (p_brand, size) from told")
 def tin_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Both weights of tins from names (six spellings) and from the labels of three stores."""
-    read = _parts(spark, sf).select("p_partkey", tins.name_weights(F.col("name")).alias("a"), tins.label_weights(F.col("label")).alias("b"), tins.block_weights(F.col("line"), F.col("block")).alias("c"), tins.listed_weights(measures.parse_size(F.col("plain_name")), F.col("block")).alias("d"))
+    # a table of parts is a few files' splits; patterns cost far more than reading, so rows are dealt to all tasks
+    dealt = _parts(spark, sf).repartition(4 * spark.sparkContext.defaultParallelism)
+    read = dealt.select("p_partkey", tins.name_weights(F.col("name")).alias("a"), tins.label_weights(F.col("label")).alias("b"), tins.block_weights(F.col("line"), F.col("block")).alias("c"), tins.listed_weights(measures.parse_size(F.col("plain_name")), F.col("block")).alias("d"))
     pairs = [F.col(f"{s}.{w}").alias(f"{how}_{w}") for s, how in zip("abcd", ("name", "label", "block", "listed"), strict=True) for w in ("full", "drained")]
     return read.select("p_partkey", *pairs)
 

@@ -84,3 +84,22 @@ def test_rows_of_tins(spark):
     assert got[6] == ("drained", None, "full", None) and got[7] == ("drained", 0.5, None, "Peso escorrido estimado por nós e verificado; a loja não o indica.")
     assert got[8] == ("full", 0.9, None, "Peso total do rótulo do mesmo produto no B; a loja não o indica.") and got[9] == ("full", 0.8, None, None) and got[10] == ("full", None, "drained", None)
     assert got[11] == (None, 1.0, None, None)
+
+
+def test_a_pattern_is_written_once_in_the_expression_of_a_size(spark):
+    from shelfwise.functions import measures, tins
+
+    name = spark.range(1).select(F.lit("Lata atum 3 x 120 g + 20 g").alias("t"))
+    for made, most in ((measures.parse_size(F.col("t")), 12), (tins.listed_weights(measures.parse_size(F.col("t")), F.col("t")), 15), (tins.block_weights(F.col("t"), F.col("t")), 8), (tins.label_weights(F.col("t")), 8)):
+        plan = name.select(made.alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("regexp_extract(") + plan.count("regexp_replace(") <= most
+    assert tuple(name.select(measures.parse_size(F.col("t")).alias("x")).head().x) == (0.38, "kg", 3)
+
+
+def test_names_are_read_by_all_tasks(spark, tmp_path):
+    from shelfwise.plans import tins as plans
+
+    part = spark.range(40).selectExpr("id as p_partkey", "'x' as p_name", "'b' as p_brand", "cast(id + 1 as int) as p_size")
+    part.coalesce(1).write.parquet(f"file://{tmp_path}/part.parquet")
+    read = plans.tin_labels(spark, f"file://{tmp_path}")
+    assert read.withColumn("t", F.spark_partition_id()).select("t").distinct().count() >= spark.sparkContext.defaultParallelism
