@@ -85,3 +85,23 @@ def test_bounds(spark):
     for r in made:
         want = None if r.hits is None or r.tries is None else quality.binomial_upper(r.hits, r.tries) if r.tries < 1000 else 0.000998077 if r.hits == 0 else 0.511705
         assert r.bound == (want if want is None else pytest.approx(want, abs=1e-9 if r.tries < 1000 else 1e-4)), r
+
+
+def test_bounds_of_many_hits_take_few_steps(spark):
+    import math
+    import time
+
+    def tail(h, n, p):
+        ways = math.lgamma(n + 1) - math.lgamma(h + 1) - math.lgamma(n - h + 1)
+        term = total = math.exp(ways + h * math.log(p) + (n - h) * math.log1p(-p))
+        for k in range(h, max(0, h - 200_000), -1):
+            term *= k / (n - k + 1) * (1 - p) / p
+            total += term
+        return total
+
+    rows = [(4_000_000, 100_000_000), (300_000, 1_000_000), (19, 20), (20, 21), (1, 1_000_000)]
+    began = time.monotonic()
+    made = spark.createDataFrame(rows, "hits long, tries long").select("hits", "tries", binomial_upper(F.col("hits"), F.col("tries")).alias("bound")).collect()
+    assert time.monotonic() - began < 60
+    for r in made:
+        assert tail(r.hits, r.tries, r.bound - 2e-9) > 0.05 > tail(r.hits, r.tries, r.bound + 2e-9), r
