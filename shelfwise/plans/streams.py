@@ -43,8 +43,12 @@ def _new_folder(spark: SparkSession, name: str) -> str:
     return f"{resolve.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _stateful(spark: SparkSession):
-    return states.settings(spark, spark__sql__streaming__stateStore__providerClass=states.ROCKS, spark__sql__shuffle__partitions=str(spark.sparkContext.defaultParallelism))
+#: Rows of a task and of a saved bucket, and of a shard, of a stream over a table whose size is known.
+ROWS, SHARD_ROWS = 500_000, 100_000
+
+
+def _stateful(spark: SparkSession, rows: int = 0):
+    return states.settings(spark, spark__sql__streaming__stateStore__providerClass=states.ROCKS, spark__sql__shuffle__partitions=str(max(spark.sparkContext.defaultParallelism, rows // ROWS)))
 
 
 @query(f"with {PERIODS} select store, product_id, period::bigint as period, price_cents, available, first_seen, last_seen, n_seen, period = max(period) over (partition by store, product_id) as is_open from periods")
@@ -59,11 +63,11 @@ def periods_streamed(spark: SparkSession, sf: str) -> DataFrame:
     end = spark.range(1).selectExpr("cast(null as string) as store", "cast(null as bigint) as product_id", "timestamp'2200-01-01' as day", "'' as ord", "cast(null as bigint) as cents", "cast(null as boolean) as available", "0L as arrives")
     stream = _arriving(rows, ["arrives"], 2, end)
     schema = "store string, product_id bigint, period bigint, price_cents bigint, available boolean, first_seen date, last_seen date, n_seen bigint, is_open boolean"
-    target = sink.VersionedTable(spark, _new_folder(spark, "periods"), schema, ["store", "product_id", "period"])
-    save = lambda rows, batch: target.merge(sink.newest(rows, ["store", "product_id", "period"], ["n_seen", "last_seen"]), batch)
-    with _stateful(spark):
-        made = states.streamed_periods(stream, "21 days", 64)
-        sink.in_slices(made.writeStream.outputMode("append"), save, _new_folder(spark, "offsets"))
+    n = rows.count()
+    target = sink.VersionedTable(spark, _new_folder(spark, "periods"), schema, ["store", "product_id", "period"], max(sink.BUCKETS, n // ROWS))
+    with _stateful(spark, n):
+        made = states.streamed_periods(stream, "21 days", max(64, n // SHARD_ROWS))
+        sink.in_slices(made.writeStream.outputMode("append"), target.merge, _new_folder(spark, "offsets"))
     return target.read().filter("product_id is not null")
 
 

@@ -64,7 +64,7 @@ class VersionedTable:
                 new = combine(stored, new) if combine else stored.join(new.select(*self.key), self.key, "left_anti").unionByName(new)
             folder = f"{self.folder}/data/{version + 1}-{uuid.uuid4().hex}"
             new = new.select(*self.spark.createDataFrame([], self.schema).columns).withColumn("_bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int"))
-            new.repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
+            new.repartition(self.buckets, "_bucket").write.partitionBy("_bucket").parquet(folder)
         finally:
             dealt.unpersist()
         made = [(version + 1, batch, b, f"{folder}/_bucket={b}") for b in touched]

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import contextlib
 from collections.abc import Iterator
-from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -48,53 +51,107 @@ def extend_periods(period: tuple | None, rows: list[tuple]) -> tuple[list[tuple]
     return ended, period
 
 
+SIGHTINGS = pa.schema([("store", pa.string()), ("product", pa.int64()), ("at", pa.int64()), ("ord", pa.string()), ("cents", pa.int64()), ("available", pa.bool_())])
+OPEN = pa.schema([("store", pa.string()), ("product", pa.int64()), ("period", pa.int64()), ("cents", pa.int64()), ("available", pa.bool_()), ("first", pa.int64()), ("last", pa.int64()), ("n", pa.int64())])
+#: Rows of a value in the state store.
+BLOCK = 10_000
+
+
+def _packed(table: pa.Table) -> list[tuple[bytes]]:
+    """A table as state rows of one binary value: Arrow blocks."""
+    out = []
+    for block in table.to_batches(max_chunksize=BLOCK):
+        with pa.ipc.new_stream(buffer := pa.BufferOutputStream(), table.schema) as writer:
+            writer.write_batch(block)
+        out.append((buffer.getvalue().to_pybytes(),))
+    return out
+
+
+def _unpacked(values: Iterator[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.concat_tables([schema.empty_table(), *(pa.ipc.open_stream(v).read_all() for (v,) in values)])
+
+
+def _differs(table: pa.Table, names: list[str]) -> np.ndarray:
+    """Whether a row differs from the one before in any of the columns, null equal to null; the first one does."""
+    out = np.ones(table.num_rows, bool)
+    out[1:] = False
+    for name in names:
+        c = table[name].combine_chunks()
+        now, before = c.slice(1), c.slice(0, max(len(c) - 1, 0))
+        unequal = pc.or_(pc.fill_null(pc.not_equal(now, before), False), pc.xor(pc.is_null(now), pc.is_null(before)))
+        out[1:] |= unequal.to_numpy(zero_copy_only=False)
+    return out
+
+
+def extend_all_periods(held: pa.Table, ready: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """extend_periods() for all listings of a shard at once: (periods that ended or changed, with is_open; all open periods).
+
+    held: the open periods (OPEN), one a listing; ready: sightings (SIGHTINGS) later than those. A held period stands
+    before its listing's sightings as a row of its own.
+    """
+    n, m = held.num_rows, ready.num_rows
+    both = pa.table({
+        "store": pa.chunked_array([*held["store"].chunks, *ready["store"].chunks], pa.string()), "product": pa.chunked_array([*held["product"].chunks, *ready["product"].chunks], pa.int64()),
+        "new": np.repeat([0, 1], [n, m]), "at": pa.chunked_array([*held["last"].chunks, *ready["at"].chunks], pa.int64()), "ord": pa.chunked_array([pa.nulls(n, pa.string()), *ready["ord"].chunks], pa.string()),
+        "cents": pa.chunked_array([*held["cents"].chunks, *ready["cents"].chunks], pa.int64()), "available": pa.chunked_array([*held["available"].chunks, *ready["available"].chunks], pa.bool_()),
+        "period": pa.chunked_array([*held["period"].chunks, pa.array(np.ones(m, np.int64))], pa.int64()), "first": pa.chunked_array([*held["first"].chunks, *ready["at"].chunks], pa.int64()), "n": pa.chunked_array([*held["n"].chunks, pa.array(np.ones(m, np.int64))], pa.int64()),
+    })
+    both = both.sort_by([(c, "ascending") for c in ("store", "product", "new", "at", "ord")])
+    listing = _differs(both, ["store", "product"])
+    starts = np.flatnonzero(listing | _differs(both, ["cents", "available"]))
+    if not len(starts):
+        return OPEN.append(pa.field("is_open", pa.bool_())).empty_table(), held
+    ends = np.append(starts[1:], both.num_rows) - 1
+    opens = listing[starts]
+    begin = np.maximum.accumulate(np.where(opens, np.arange(len(starts)), 0))
+    made = both.take(pa.array(starts))
+    number = made["period"].to_numpy()[begin] + np.arange(len(starts)) - begin
+    last, count = both["at"].to_numpy()[ends], np.add.reduceat(both["n"].to_numpy(), starts)
+    is_open = np.append(opens[1:], True)
+    periods = pa.table([made["store"], made["product"], pa.array(number), made["cents"], made["available"], made["first"], pa.array(last), pa.array(count), pa.array(is_open)], schema=OPEN.append(pa.field("is_open", pa.bool_())))
+    # a listing without new sightings has its held period alone, which stays as it was saved
+    alone = is_open & opens & (both["new"].to_numpy()[ends] == 0)
+    return periods.filter(pa.array(~alone)), periods.filter(periods["is_open"]).drop_columns("is_open")
+
+
 class Periods(StatefulProcessor):
     """Price periods of the listings of a shard. Rows wait in a list until the watermark has passed their day, so that late
-    rows come in order; a timer at the earliest waiting day wakes the shard. A listing's open period is one row of a second list.
+    rows come in order; a timer at the earliest waiting day wakes the shard. The open periods of its listings are a second list.
 
-    Emits every period that ended, and the open one as it stands; a later row of the same number replaces an earlier one.
+    Both lists hold Arrow blocks and a shard is worked out by columns, as a row of Python for every sighting would cost most
+    of the run. Emits every period that ended, and the open one as it stands; a later row of the same number replaces an
+    earlier one. A batch emits a period once: the first timer takes all rows that the watermark has passed.
     """
 
-    NAMES = ("store", "product_id", "period", "price_cents", "available", "first_seen", "last_seen", "n_seen", "is_open")
-
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "store string, product bigint, at bigint, ord string, cents bigint, available boolean")
-        self.open = handle.getListState("open", "store string, product bigint, period bigint, cents bigint, available boolean, first bigint, last bigint, n bigint")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.open = handle.getListState("open", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        new = []
-        for f in rows:
-            columns = f[["store", "product_id", "at", "ord", "cents", "available"]].astype({"cents": "Int64", "available": "boolean"})
-            new += [tuple(None if pd.isna(x) else x for x in r) for r in columns.itertuples(index=False)]
-        new = [(s, None if p is None else int(p), int(a), o, None if c is None else int(c), None if v is None else bool(v)) for s, p, a, o, c, v in new]
-        self.waiting.appendList(new)
-        self.handle.registerTimer(min(r[2] for r in new))
+        new = pa.concat_tables([pa.Table.from_pandas(f.rename(columns={"product_id": "product"})[SIGHTINGS.names], SIGHTINGS, preserve_index=False) for f in rows])
+        self.waiting.appendList(_packed(new))
+        self.handle.registerTimer(pc.min(new["at"]).as_py())
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        limit = timerValues.getCurrentWatermarkInMs()
-        ready, later = [], []
-        for r in self.waiting.get():
-            (ready if r[2] <= limit else later).append(tuple(r))
-        if not ready:
+        rows = _unpacked(self.waiting.get(), SIGHTINGS)
+        passed = pc.less_equal(rows["at"], timerValues.getCurrentWatermarkInMs())
+        ready, later = rows.filter(passed), rows.filter(pc.invert(passed))
+        if not ready.num_rows:
             return
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(min(r[2] for r in later))
+        if later.num_rows:
+            self.waiting.put(_packed(later))
+            self.handle.registerTimer(pc.min(later["at"]).as_py())
         else:
             self.waiting.clear()
-        held = {(r[0], r[1]): tuple(r[2:]) for r in self.open.get()}
-        out = []
-        for listing, sightings in groupby(sorted(ready, key=lambda r: (r[0] or "", r[1] or 0, r[2], r[3])), key=lambda r: (r[0], r[1])):
-            ended, period = extend_periods(held.get(listing), [(r[2], r[4], r[5]) for r in sightings])
-            held[listing] = period
-            out += [(*listing, *p, False) for p in ended] + [(*listing, *period, True)]
-        self.open.put([(*k, *p) for k, p in held.items()])
-        frame = pd.DataFrame(out, columns=self.NAMES).astype({"product_id": "Int64", "price_cents": "Int64", "available": "boolean"})
-        for name in ("first_seen", "last_seen"):
-            frame[name] = pd.to_datetime(frame[name], unit="ms").dt.date
-        yield frame
+        made, held = extend_all_periods(_unpacked(self.open.get(), OPEN), ready)
+        self.open.put(_packed(held))
+        for block in made.to_batches(max_chunksize=BLOCK):
+            frame = block.to_pandas().astype({"is_open": "bool"})
+            for name in ("product", "cents", "available"):
+                frame[name] = block[name].to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.bool_(): pd.BooleanDtype()}.get)
+            yield frame
 
 
 def streamed_periods(rows: DataFrame, delay: str, shards: int = 256) -> DataFrame:
@@ -102,11 +159,13 @@ def streamed_periods(rows: DataFrame, delay: str, shards: int = 256) -> DataFram
 
     Rows up to delay behind the newest day come in order; later ones are dropped by the watermark. Listings are dealt to
     shards by hash, so that a task talks to the state store once a shard and not once a listing; a shard's listings and
-    waiting rows are in memory together, so shards should grow with the number of listings.
+    waiting rows are in memory together, so shards should grow with the number of rows.
     """
-    schema = "store string, product_id bigint, period bigint, price_cents bigint, available boolean, first_seen date, last_seen date, n_seen bigint, is_open boolean"
+    schema = "store string, product bigint, period bigint, cents bigint, available boolean, first bigint, last bigint, n bigint, is_open boolean"
     timed = rows.withWatermark("day", delay).selectExpr(f"pmod(xxhash64(store, product_id), {shards}) as shard", "store", "product_id", "day", "unix_millis(day) as at", "ord", "cents", "available")
-    return timed.groupBy("shard").transformWithStateInPandas(Periods(), schema, "Append", "EventTime")
+    made = timed.groupBy("shard").transformWithStateInPandas(Periods(), schema, "Append", "EventTime")
+    day = lambda c: F.timestamp_millis(F.col(c)).cast("date")
+    return made.select("store", F.col("product").alias("product_id"), "period", F.col("cents").alias("price_cents"), "available", day("first").alias("first_seen"), day("last").alias("last_seen"), F.col("n").alias("n_seen"), "is_open")
 
 
 def admit(times: list[int], day: int | None, rows: list[int], most: int, window_ms: int) -> tuple[list[bool], list[int], int | None]:

@@ -145,3 +145,39 @@ def test_deadline_is_a_time(spark, tmp_path):
 
     sink.in_slices(stream.writeStream, slow, f"file://{tmp_path}/offsets", seconds=3)
     assert t.last()[1] == 0
+
+
+def test_a_shard_is_worked_out_by_columns_like_row_by_row():
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    sightings = [(rng.choice(("a", "b", None)), rng.choice((1, 2, None)), d, f"{i:03}", rng.choice((5, 6, None)), rng.choice((True, False, None))) for i, d in enumerate(rng.choices(range(30), k=400))]
+    held, got = states.OPEN.empty_table(), {}
+    for low, high in ((0, 9), (9, 10), (10, 12), (12, 30)):
+        part = [r for r in sightings if low <= r[2] < high and not (low == 10 and r[0] == "a")]
+        made, held = states.extend_all_periods(held, pa.table(list(zip(*part)), schema=states.SIGHTINGS) if part else states.SIGHTINGS.empty_table())
+        keys = [(r["store"], r["product"], r["period"]) for r in made.to_pylist()]
+        assert len(keys) == len(set(keys))
+        got |= {(r["store"], r["product"], r["period"]): tuple(r.values()) for r in made.to_pylist()}
+    want = []
+    rows_ = [r for r in sightings if not (10 <= r[2] < 12 and r[0] == "a")]
+    for listing in {r[:2] for r in rows_}:
+        ended, period = states.extend_periods(None, [(r[2], r[4], r[5]) for r in sorted((x for x in rows_ if x[:2] == listing), key=lambda r: (r[2], r[3]))])
+        want += [(*listing, *p, p is period) for p in [*ended, period]]
+    assert sorted(got.values(), key=repr) == sorted(want, key=repr)
+    assert states._unpacked(iter(states._packed(held)), states.OPEN).equals(held.combine_chunks())
+
+
+def test_waiting_rows_are_kept_in_blocks():
+    import types
+
+    import pandas as pd
+
+    kept = types.SimpleNamespace(waiting=[], timers=[])
+    handle = types.SimpleNamespace(getListState=lambda name, schema: types.SimpleNamespace(appendList=kept.waiting.extend), registerTimer=kept.timers.append)
+    p = states.Periods()
+    p.init(handle)
+    frame = pd.DataFrame({"store": "s", "product_id": range(10_000), "day": 0, "at": range(5, 10_005), "ord": "", "cents": [None] * 10_000, "available": [None, True] * 5_000})
+    list(p.handleInputRows((0,), iter([frame] * 3), None))
+    assert len(kept.waiting) == 3 and kept.timers == [5]
+    assert states._unpacked(iter(kept.waiting), states.SIGHTINGS).num_rows == 30_000
