@@ -81,3 +81,11 @@ def test_a_batch_arrives_in_many_files(spark):
     query.awaitTermination()
     assert [n for _, _, n in got] == [200, 200, 1] and [m for _, m, _ in got] == [0, 200, 1000]
     assert got[0][0] > 1
+
+
+def test_rounds_of_components_send_no_labels_through_the_driver(spark, monkeypatch):
+    plans, write = [], resolve.checkpoint
+    monkeypatch.setattr(resolve, "checkpoint", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1])
+    found = resolve.components(spark.range(50).selectExpr("id as a", "id + 1 as b"))
+    assert {r.component for r in found.collect()} == {0} and found.count() == 51
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
