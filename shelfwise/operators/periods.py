@@ -6,19 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def price_periods(observations: DataFrame, keys: list[str], order: list[str], at: str, values: list[str]) -> DataFrame:
+def price_periods(observations: DataFrame, keys: list[str], order: list[str], at: str, values: list[str], following: str | None = None) -> DataFrame:
     """Periods in which the values stay the same, null equal to null.
 
     A period goes from its first to its last sighting, so a gap without sightings stays visible; the last one of a
-    key is open. order breaks ties of `at` completely. Returns keys, values, first_seen, last_seen, n_seen, is_open.
+    key is open. order begins with `at` and breaks its ties completely. Returns keys, period, values, first_seen,
+    last_seen, n_seen, is_open, and the first sighting of the next period where following names that column.
+
+    Rows are sorted once: a period is its first row, with what the first row of the next one and the key's totals say.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = [F.lag(v).over(w) for v in values]
     changed = (F.row_number().over(w) == 1) | ~sum((F.col(v).eqNullSafe(b).cast("int") for v, b in zip(values, before, strict=True)), F.lit(0)).eqNullSafe(F.lit(len(values)))
-    marked = observations.withColumn("_new", changed.cast("int")).withColumn("_period", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    periods = marked.groupBy(*keys, "_period").agg(*(F.first(v).alias(v) for v in values), F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count("*").alias("n_seen"))
-    last = F.max("_period").over(Window.partitionBy(*keys))
-    return periods.withColumn("is_open", F.col("_period") == last).withColumnRenamed("_period", "period")
+    marked = observations.withColumns({"_new": changed, "_i": F.row_number().over(w), "_before": F.lag(at).over(w), "_n": F.count("*").over(whole), "_end": F.max(at).over(whole), "_begin": F.min(at).over(whole), "_undated": F.count_if(F.col(at).isNull()).over(whole)})
+    starts = marked.filter("_new").withColumns({"period": F.row_number().over(w).cast("long"), "_next": F.lead("_i").over(w), "_last": F.lead("_before").over(w), "_following": F.lead(at).over(w)})
+    is_open = F.col("_next").isNull()
+    stop = F.when(is_open, F.col("_n") + 1).otherwise(F.col("_next"))
+    # rows without a date come first; a period that begins there is first seen at the key's first date, if it gets so far
+    first = F.coalesce(at, F.when(stop > F.col("_undated") + 1, F.col("_begin")))
+    made = {"first_seen": first, "last_seen": F.when(is_open, F.col("_end")).otherwise(F.col("_last")), "n_seen": stop - F.col("_i"), "is_open": is_open}
+    more = [F.col("_following").alias(following)] if following else []
+    return starts.select(*keys, "period", *values, *(c.alias(name) for name, c in made.items()), *more)
 
 
 def stretches(periods: DataFrame, keys: list[str], first: str = "first_seen", last: str = "last_seen") -> DataFrame:

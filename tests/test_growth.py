@@ -89,3 +89,34 @@ def test_rounds_of_components_send_no_labels_through_the_driver(spark, monkeypat
     found = resolve.components(spark.range(50).selectExpr("id as a", "id + 1 as b"))
     assert {r.component for r in found.collect()} == {0} and found.count() == 51
     assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_periods_sort_once_and_keep_undated_rows(spark):
+    import random
+
+    from shelfwise.operators import periods
+
+    rng = random.Random(3)
+    made = [(rng.randrange(6), rng.choice((None, *range(8))), i, rng.choice((1, 2, None))) for i in range(200)]
+    got = periods.price_periods(spark.createDataFrame(made, "k long, day int, i long, cents long"), ["k"], ["day", "i"], "day", ["cents"], "following")
+    want = []
+    for k in {r[0] for r in made}:
+        own, n = [], 0
+        for _, day, _, cents in sorted((r for r in made if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+            if not own or own[-1][2] != cents:
+                own.append([k, len(own) + 1, cents, [], 0])
+            own[-1][3].append(day)
+            own[-1][4] += 1
+        for n, (key, number, cents, days, seen) in enumerate(own):
+            dated = [d for d in days if d is not None]
+            want.append((key, number, cents, min(dated, default=None), max(dated, default=None), seen, n == len(own) - 1))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.drop("following").collect())
+    physical = got._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Sort [") == 1 and "Aggregate" not in physical
+
+
+def test_the_cheapest_is_found_by_hashing(spark):
+    from shelfwise.plans import queries
+
+    physical = queries.price_history(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in physical and "SortAggregate" not in physical
