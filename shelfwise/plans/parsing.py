@@ -15,7 +15,9 @@ from shelfwise.sources import elements, parsers
 def _around(spark: SparkSession, sf: str) -> DataFrame:
     """Parts with the markup of a page, in which their product is shown: unclosed elements, scripts and all."""
     pages = table(spark, sf, "pages").select((F.col("page_id") % 500).alias("slot"), "html").groupBy("slot").agg(F.min("html").alias("filler"))
-    return table(spark, sf, "part").withColumn("slot", F.col("p_partkey") % 500).join(pages, "slot", "left").withColumn("filler", F.coalesce("filler", F.lit("")))
+    # parts are a few files' splits, and a page costs far more to read than its part: they are dealt to all tasks
+    dealt = table(spark, sf, "part").repartition(4 * spark.sparkContext.defaultParallelism)
+    return dealt.withColumn("slot", F.col("p_partkey") % 500).join(pages, "slot", "left").withColumn("filler", F.coalesce("filler", F.lit("")))
 
 
 def _fill(template: str, **values: Column) -> Column:

@@ -63,3 +63,15 @@ def test_parsers_tell_what_they_could_not_read(spark):
     b = {r.id: r for r in parsers.parsed_pages(b, "pingodoce", "id", "html", today).collect()}
     assert b[1].price == 1234.5 and b[2].state == "no price"
     assert parsers.parsed_pages(frame.limit(0), "auchan", "id", "html", today).collect() == []
+
+
+def test_made_pages_are_read_by_all_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from shelfwise.plans import parsing
+
+    spark.range(40).selectExpr("id as p_partkey", "'x' as p_name").coalesce(1).write.parquet(f"file://{tmp_path}/part.parquet")
+    spark.range(500).selectExpr("id as page_id", "'<p>' as html").coalesce(1).write.parquet(f"file://{tmp_path}/pages.parquet")
+    around = parsing._around(spark, f"file://{tmp_path}")
+    assert around.count() == 40
+    assert around.withColumn("t", F.spark_partition_id()).select("t").distinct().count() >= spark.sparkContext.defaultParallelism
