@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text
+from shelfwise.operators.resolve import checkpoint
 
 
 @dataclass(frozen=True)
@@ -55,16 +56,17 @@ def label_set(rules: list[Rule], name: Column, kind: Column | None = None) -> Co
 def match_heads(items: DataFrame, rules: DataFrame, item: str, tokens: str, name: str) -> DataFrame:
     """First rule (by order) one of whose heads is among an item's tokens; rules: order, id, heads, require, exclude.
 
-    For tables of any length: heads meet tokens in an equi-join; only then are patterns tried.
+    For tables of any length: heads meet tokens in an equi-join; only then are patterns tried. The table is written, so
+    that Spark sees how small it is and brings it to the names: a name is not moved, only the first rule of each item.
     """
-    words = items.select(item, F.explode(F.array_distinct(tokens)).alias("_head"))
-    heads = rules.select(F.explode("heads").alias("_head"), F.struct("order", F.col("id").alias("rule"), text.ascii_patterns("require").alias("require"), text.ascii_patterns("exclude").alias("exclude")).alias("r"))
-    met = words.join(heads, "_head").groupBy(item).agg(F.sort_array(F.collect_set("r")).alias("_rules"))
-    # names join once an item, not once a word; rules after the first that holds are not tried
-    named = met.join(items.select(item, F.col(name).alias("_name")), item)
-    holds = lambda r: F.coalesce(F.rlike(F.col("_name"), r["require"]), F.lit(True)) & ~F.coalesce(F.rlike(F.col("_name"), r["exclude"]), F.lit(False))
-    first = F.aggregate("_rules", F.lit(None).cast("string"), lambda found, r: F.when(found.isNotNull(), found).when(holds(r), r["rule"]))
-    return named.select(item, first.alias("rule")).filter("rule is not null")
+    # an outer explode (null meets no head): before a plain one Spark would look for empty arrays as early as it can, below a shuffle
+    words = items.select(item, F.col(name).alias("_name"), F.explode_outer(F.array_distinct(tokens)).alias("_head"))
+    heads = checkpoint(rules.filter("id is not null").select(F.explode("heads").alias("_head"), "order", F.col("id").alias("rule"), text.ascii_patterns("require").alias("require"), text.ascii_patterns("exclude").alias("exclude")))
+    holds = F.coalesce(F.rlike("_name", F.col("require")), F.lit(True)) & ~F.coalesce(F.rlike("_name", F.col("exclude")), F.lit(False))
+    # the item comes out of the aggregate: a later join's "is not null" on the key itself would go below a shuffle of
+    # the items, which the other side of that join then could not share
+    first = words.join(heads, "_head").filter(holds).groupBy(item).agg(F.max(item).alias("_id"), F.min(F.struct("order", "rule")).alias("_first"))
+    return first.select(F.col("_id").alias(item), F.col("_first.rule").alias("rule"))
 
 
 def classify(name: Column, shelf_leaf: Column, shelf_parent: Column, rules: list[Rule], cuts: list[str]) -> Column:

@@ -20,19 +20,21 @@ PATTERNS = classifier.Patterns(
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of every document as an item, with a path of two shelves made of its own words, its plain name and words.
 
-    Documents are dealt to all tasks first, as a file may be one task's; lines are written once, as tables of rules are
-    made of their words before they meet them.
+    Lines are dealt to all tasks by item, as a file may be one task's: what is found for an item is then joined where its
+    line is, so a line is moved once a reading. They are read twice, once for the words that tables of rules are made of:
+    written out, names and words would take several times the input's room.
     """
-    lines = table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "name"))
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "name"))
+    dealt = lines.select((F.col("doc_id") * 1000000 + F.col("i")).alias("item"), "name").repartition("item")
+    i = F.pmod("item", F.lit(1000000))
     w = lambda k: F.coalesce(F.get(F.split("name", " "), F.lit(k)), F.lit(""))
-    item = F.col("doc_id") * 1000000 + F.col("i")
-    path = F.concat(w(1), F.when(F.col("i") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" e "), w(2))), F.when(F.col("i") % 9 == 0, F.lit(" outros")).otherwise(F.lit("")), F.lit(" / "), w(3), F.when(F.col("i") % 2 == 0, F.concat(F.lit(" "), w(4))).otherwise(F.lit("")))
-    return resolve.checkpoint(lines.select(item.alias("item"), "name", path.alias("path"), text.plain(F.col("name")).alias("plain"), classifier.name_words(F.col("name")).alias("words")))
+    path = F.concat(w(1), F.when(i % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" e "), w(2))), F.when(i % 9 == 0, F.lit(" outros")).otherwise(F.lit("")), F.lit(" / "), w(3), F.when(i % 2 == 0, F.concat(F.lit(" "), w(4))).otherwise(F.lit("")))
+    return dealt.select("item", "name", path.alias("path"), text.plain(F.col("name")).alias("plain"), classifier.name_words(F.col("name")).alias("words"))
 
 
 def _hashed_words(lines: DataFrame) -> DataFrame:
     """Words of three to five letters with a number by hash, from which the rule tables are made."""
-    words = lines.select(F.explode("words").alias("word")).distinct().filter(F.length("word").between(3, 5))
+    words = lines.select(F.explode_outer("words").alias("word")).distinct().filter(F.length("word").between(3, 5))
     return resolve.checkpoint(words.withColumn("h", F.conv(F.substring(F.md5("word"), 1, 4), 16, 10).cast("int")))
 
 
@@ -120,8 +122,11 @@ def kinds_explained(spark: SparkSession, sf: str) -> DataFrame:
 
 def _decided(lines: DataFrame, kinds: DataFrame) -> DataFrame:
     """Lines with the kind of the first rule that claims one of their words, by the joined table."""
-    first = rules.match_heads(lines, kinds.withColumnRenamed("kind", "id"), "item", "words", "plain")
-    return lines.join(first.withColumnRenamed("rule", "kind"), "item", "left").withColumn("category", F.substring("kind", 1, 2))
+    return lines.join(_first(lines, kinds).withColumnRenamed("rule", "kind"), "item", "left").withColumn("category", F.substring("kind", 1, 2))
+
+
+def _first(lines: DataFrame, kinds: DataFrame) -> DataFrame:
+    return rules.match_heads(lines, kinds.withColumnRenamed("kind", "id"), "item", "words", "plain")
 
 
 _FIRST = f"""{TABLES}, w as (select item, plain, unnest(list_distinct(words)) as word from base),
@@ -132,7 +137,7 @@ first as (select item, arg_min(kind, (ord, kind)) as kind from w join kinds k on
 def head_matches(spark: SparkSession, sf: str) -> DataFrame:
     """K2: the first rule that claims any word of a line, by equi-join with a table of about 2,000 rules."""
     lines = _lines(spark, sf)
-    return _decided(lines, _kinds(_hashed_words(lines))).filter("kind is not null").select("item", F.col("kind").alias("rule"))
+    return _first(lines, _kinds(_hashed_words(lines)))
 
 
 def _sub_kind_rules(kinds: DataFrame) -> DataFrame:
@@ -150,8 +155,7 @@ def sub_kinds_found(spark: SparkSession, sf: str) -> DataFrame:
     """K4: the first sub-kind rule of an item's kind that its name matches; null where none does or the item has no kind."""
     lines = _lines(spark, sf)
     kinds = _kinds(_hashed_words(lines))
-    decided = resolve.checkpoint(_decided(lines, kinds))
-    return decided.select("item", "kind").join(classifier.sub_kinds(decided, _sub_kind_rules(kinds), "item"), "item")
+    return classifier.sub_kinds(_decided(lines, kinds), _sub_kind_rules(kinds), "item", also=("kind",))
 
 
 def _label_rules(spark: SparkSession) -> DataFrame:
