@@ -179,7 +179,9 @@ _LABEL_ROWS = """lr(ord, label, match, unl, shelf, kinds, not_kinds, categories)
 def labels_found(spark: SparkSession, sf: str) -> DataFrame:
     """K5: every label whose gates an item passes, in the order of the table."""
     lines = _lines(spark, sf)
-    return classifier.label_sets(resolve.checkpoint(_decided(lines, _kinds(_hashed_words(lines)))), _label_rules(spark), "item")
+    kinds = _kinds(_hashed_words(lines))
+    known = kinds.select("kind").union(spark.sql("select string(null)")).select("kind", F.substring("kind", 1, 2).alias("category"))
+    return classifier.label_sets(_decided(lines, kinds), _label_rules(spark), "item", pairs=known)
 
 
 @query(f"""with {_SUB}, m as (select f.item, arg_min(sub_kind, o) as sub_kind from first f join base b on f.item = b.item join subs s on f.kind = s.kind where regexp_matches(b.plain, match) group by 1),
